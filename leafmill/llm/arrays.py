@@ -151,3 +151,42 @@ def distinct_sorted(hashes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.
     new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
     hashes, doc = hashes[new], doc[new]
     return hashes, np.searchsorted(doc, np.arange(docs + 1))
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, .. of every slice, one slice after the other."""
+    lengths = lengths.astype(np.int64)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts.astype(np.int64) - (ends - lengths), lengths) + np.arange(total)
+
+
+_SECOND = 0xA0761D6478BD642F | 1
+_SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
+
+
+def unique_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For slices of bytes: one position of each distinct slice, and each slice's number among those.
+
+    Slices of up to 7 bytes are compared as they are, packed into one number with their length; longer ones by
+    two independent 64-bit hashes, of which the second settles what the first may have mixed up."""
+    n, sizes = len(data), ends - starts
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    key = np.zeros(len(starts), U64)
+    for i in range(7):
+        np.bitwise_or(key, np.where(i < sizes, padded[starts + i], 0).astype(U64) << U64(8 * i), out=key)
+    key |= np.minimum(sizes, 8).astype(U64) << U64(56)
+    long = np.flatnonzero(sizes > 7)
+    if len(long):
+        key[long] = slice_hashes(data, starts[long], ends[long]) | U64(1 << 63)
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    if len(long):
+        sums = np.zeros(n + 1, U64)
+        np.cumsum(_BYTE[data] * powers(_SECOND, n)[:n], out=sums[1:])
+        again = (sums[ends[long]] - sums[starts[long]]) * powers(_SECOND_INVERSE, n)[starts[long]]
+        other = np.zeros(len(starts), U64)
+        other[long] = again
+        if (other != other[first[inverse]]).any():
+            _, first, inverse = np.unique(np.stack([key, other]), axis=1, return_index=True, return_inverse=True)
+    return first, inverse.reshape(-1)

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.llm.bytebpe import op7_bytebpe
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
+    "op7_bytebpe": op7_bytebpe,
     "op10_near": op10_near,
 }
 
