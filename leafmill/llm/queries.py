@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm.bytebpe import op7_bytebpe
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
+from leafmill.llm.tokencount import op6_tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
+    "op6_tokencount": op6_tokencount,
     "op7_bytebpe": op7_bytebpe,
     "op10_near": op10_near,
 }
