@@ -10,11 +10,13 @@ from leafmill.llm.bytebpe import op7_bytebpe
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
 from leafmill.llm.tokencount import op6_tokencount
+from leafmill.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op6_tokencount": op6_tokencount,
     "op7_bytebpe": op7_bytebpe,
+    "op9_toxicity": op9_toxicity,
     "op10_near": op10_near,
 }
 
