@@ -15,6 +15,7 @@ do no harm."""
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import Piece, chunks, gathered, unique_slices
 from leafmill.llm.common import table
-from leafmill.llm.pairs import Cached, merged
+from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
 
 
@@ -40,14 +41,20 @@ class ByteVocabulary:
             tokens[i], self.lengths[i] = token, len(token)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self.single = [bytes([b]) for b in range(256)]
+        self.single = [self.ranks.get(bytes([b]), -1) for b in range(256)]
+        self.merges = Merges()
+        for token, i in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.merges.add(left, right, i, i)
         self.cached = Cached(self._find)
 
-    def _find(self, piece: bytes) -> tuple[int, ...]:
-        ranks = self.ranks
-        if piece in ranks:
-            return (ranks[piece],)
-        return tuple(ranks[p] for p in merged([self.single[b] for b in piece], lambda a, b: ranks.get(a + b)))
+    def _find(self, piece: bytes) -> bytes:
+        """The ids of a pre-token, 4 bytes each."""
+        whole = self.ranks.get(piece)
+        single = self.single
+        return array("I", [whole] if whole is not None else self.merges.merge([single[b] for b in piece])).tobytes()
 
     def encode(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts of a piece, where in the piece each id's bytes end, and where each text's ids begin."""
@@ -64,8 +71,8 @@ class ByteVocabulary:
         first, inverse = unique_slices(data, starts, ends)
         raw = data.tobytes()
         found = [self.cached(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(sizes.sum()))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
         ids = flat[gathered((np.cumsum(sizes) - sizes)[inverse], sizes[inverse])]
         begins = np.concatenate([[0], np.cumsum(sizes[inverse])])[np.searchsorted(starts, piece.offsets)]
         return ids, np.cumsum(self.lengths[ids]), begins
@@ -95,6 +102,23 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
+def _encoded(known: ByteVocabulary, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for piece in chunks(batch.column(1)):
+        ids, ends, begins = known.encode(piece)
+        at = pa.array(begins.astype(np.int32))
+        ends = ends - np.repeat(piece.offsets[:-1], np.diff(begins))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype(np.int32), ends)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), *lists], ["doc_id", "ids", "ends"])
+
+
+def _decoded(known: ByteVocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch.column(1)
+    ids, ends = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+    begins = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    texts = [known.decode(ids[a:b], ends[a:b]).tobytes() for a, b in zip(begins[:-1], begins[1:])]
+    return pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows doc_id, ids (array of int), ends (byte offset in the text at which each id's bytes end)."""
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -102,33 +126,37 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(sent.value)
         for batch in batches:
-            for piece in chunks(batch.column(1)):
-                ids, ends, begins = known.encode(piece)
-                at = pa.array(begins.astype(np.int32))
-                ends = ends - np.repeat(piece.offsets[:-1], np.diff(begins))
-                lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ids.astype(np.int32), ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), *lists], ["doc_id", "ids", "ends"])
+            yield from _encoded(known, batch)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
 
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary: bytes) -> DataFrame:
-    """Rows doc_id, ids, decoded (binary)."""
+    """Rows doc_id, ids, decoded (binary), from what ``encode`` has made."""
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _vocabulary(sent.value)
         for batch in batches:
-            lists, n = batch.column(1), batch.num_rows
-            ends = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            begins = lists.offsets.to_numpy() - lists.offsets[0].as_py() if n else np.zeros(1, np.int64)
-            texts = [known.decode(ids[a:b], ends[a:b]).tobytes() for a, b in zip(begins[:-1], begins[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield _decoded(known, batch)
 
     return encoded.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
+def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
+    """``decode`` of ``encode`` in one pass: the ids of a piece are decoded before the next piece is read, so
+    neither ids nor offsets go through the JVM in between."""
+    sent = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _vocabulary(sent.value)
+        for batch in batches:
+            for made in _encoded(known, batch):
+                yield _decoded(known, made)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -138,5 +166,4 @@ def op7_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoded = encode(spark, table(spark, sf_dir, "documents"), vocabulary)
-    return digests(decode(spark, encoded, vocabulary))
+    return digests(round_trip(spark, table(spark, sf_dir, "documents"), vocabulary))

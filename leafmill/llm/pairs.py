@@ -1,62 +1,83 @@
-"""Pair merging with a bounded cache, for byte-level vocabularies (ranks) and vocabularies with merges."""
+"""Pair merging on numbered tokens with a bounded cache."""
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Sequence
-from typing import Any
+from collections.abc import Callable
+from typing import TypeVar
 
-#: Entries of a worker's cache; it is emptied when full, which changes speed and no result.
-CACHE = 400_000
+T = TypeVar("T")
+#: Entries of a generation of a worker's cache; the bound changes speed and no result.
+CACHE = 200_000
+_SHIFT = 20  # token numbers are below 2 ** 20
+_NONE = 1 << 60
 
 
-def merged(parts: list, rank: Callable[[Any, Any], int | None]) -> list:
-    """``parts`` with neighbouring pairs joined, lowest rank first and leftmost among equals.
+class Merges:
+    """Which neighbours join: the rank of each pair of token numbers, and the number of what a rank makes."""
 
-    Short lists are searched again for each merge; long ones keep their pairs in a heap, so that a
-    pre-token of a million characters takes n log n steps."""
-    if len(parts) <= 32:
-        ranks = [rank(parts[i], parts[i + 1]) for i in range(len(parts) - 1)]
-        while True:
-            best = min((r for r in ranks if r is not None), default=None)
-            if best is None:
-                return parts
+    def __init__(self) -> None:
+        self.ranks: dict[int, int] = {}
+        self.made: dict[int, int] = {}
+
+    def add(self, left: int, right: int, rank: int, made: int) -> None:
+        self.ranks[left << _SHIFT | right] = rank
+        self.made[rank] = made
+
+    def merge(self, parts: list[int]) -> list[int]:
+        """``parts`` with neighbours joined, lowest rank first and leftmost among equals."""
+        if len(parts) > 48:
+            return self._merge_long(parts)
+        get, made = self.ranks.get, self.made
+        ranks = [get(a << _SHIFT | b, _NONE) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
+                break
             i = ranks.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            parts[i] = made[best]
+            del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(parts[i], parts[i + 1])
+                ranks[i] = get(parts[i] << _SHIFT | parts[i + 1], _NONE)
             if i:
-                ranks[i - 1] = rank(parts[i - 1], parts[i])
-    n = len(parts)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank(parts[i], parts[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, left, right = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if not alive[i] or j >= n or parts[i] != left or parts[j] != right:
-            continue
-        parts[i], alive[j], after[i] = left + right, False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := rank(parts[i], parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
-        if (k := before[i]) >= 0 and (r := rank(parts[k], parts[i])) is not None:
-            heapq.heappush(heap, (r, k, parts[k], parts[i]))
-    return [p for p, on in zip(parts, alive) if on]
+                ranks[i - 1] = get(parts[i - 1] << _SHIFT | parts[i], _NONE)
+        return parts
+
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same with a heap of pairs: n log n steps, for pre-tokens of up to millions of bytes."""
+        get, n = self.ranks.get, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << _SHIFT | parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] != left or j >= n or parts[j] != right:
+                continue  # one of the two has been joined meanwhile; joined right halves are -1
+            parts[i], parts[j], after[i] = self.made[rank], -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (r := get(parts[i] << _SHIFT | parts[after[i]])) is not None:
+                    heapq.heappush(heap, (r, i, parts[i], parts[after[i]]))
+            if (k := before[i]) >= 0 and (r := get(parts[k] << _SHIFT | parts[i])) is not None:
+                heapq.heappush(heap, (r, k, parts[k], parts[i]))
+        return [p for p in parts if p >= 0]
 
 
 class Cached:
-    """``find(slice)`` with what has been found before."""
+    """``find(slice)`` with what has been found before, in two generations: when the young one is full it becomes
+    the old one, so what is asked for often stays and memory is bounded."""
 
-    def __init__(self, find: Callable[[bytes], Sequence[int]], most: int = CACHE) -> None:
-        self.find, self.most, self.kept = find, most, {}
+    def __init__(self, find: Callable[[bytes], T], most: int = CACHE) -> None:
+        self.find, self.most, self.young, self.old = find, most, {}, {}
 
-    def __call__(self, key: bytes) -> Sequence[int]:
-        found = self.kept.get(key)
+    def __call__(self, key: bytes) -> T:
+        found = self.young.get(key)
         if found is None:
-            if len(self.kept) >= self.most:
-                self.kept.clear()
-            found = self.kept[key] = self.find(key)
+            found = self.old.get(key)
+            if found is None:
+                found = self.find(key)
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = found
         return found

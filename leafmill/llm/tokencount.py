@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import chunks, unique_slices
 from leafmill.llm.common import table
-from leafmill.llm.pairs import Cached, merged
+from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
 
 LIMIT = 2048
@@ -52,7 +52,11 @@ class WordVocabulary:
         model = file["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocabulary = model["vocab"]
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.numbers, self.known = dict(self.vocabulary), frozenset(self.vocabulary.values())
+        self.merges = Merges()
+        for rank, pair in enumerate(model["merges"]):
+            left, right = pair if isinstance(pair, list) else pair.split(" ")
+            self.merges.add(self._number(left), self._number(right), rank, self._number(left + right))
         self.letters = byte_letters()
         special = [t["content"] for t in file.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -60,22 +64,24 @@ class WordVocabulary:
         self.whole = self.prove_whole()
         self.cached = Cached(self._find)
 
-    def _merge(self, letters: str) -> list[str]:
-        """Tokens of one pre-token, given in letters."""
-        parts = list(letters)
-        parts[-1] += self.end
-        return merged(parts, lambda a, b: self.ranks.get((a, b)))
+    def _number(self, token: str) -> int:
+        """The number of a token; one beyond the vocabulary for a token that isn't in it."""
+        return self.numbers.setdefault(token, len(self.numbers) + 1000)
+
+    def _merge(self, letters: str) -> list[int]:
+        """Numbers of the tokens of one pre-token, given in letters."""
+        return self.merges.merge([self._number(x) for x in letters[:-1]] + [self._number(letters[-1] + self.end)])
 
     def prove_whole(self) -> frozenset[str]:
         """The pre-tokens, in letters, that come out as one token of the vocabulary."""
         ends = (token[: len(token) - len(self.end)] for token in self.vocabulary if token.endswith(self.end))
         return frozenset(word for word in ends if word and len(self._merge(word)) == 1)
 
-    def _find(self, piece: bytes) -> tuple[int]:
+    def _find(self, piece: bytes) -> int:
         letters = "".join([self.letters[b] for b in piece])
         if letters in self.whole:
-            return (1,)
-        return (sum(1 for part in self._merge(letters) if part in self.vocabulary),)
+            return 1
+        return sum(1 for part in self._merge(letters) if part in self.known)
 
     def _normal(self, text: str) -> str:
         if text.isascii():
@@ -104,7 +110,7 @@ class WordVocabulary:
         part = np.searchsorted(begins + sizes, starts, side="right")
         first, inverse = unique_slices(data, edges[starts], edges[ends])
         raw = data.tobytes()
-        found = [self.cached(raw[a:b])[0] for a, b in zip(edges[starts[first]].tolist(), edges[ends[first]].tolist())]
+        found = [self.cached(raw[a:b]) for a, b in zip(edges[starts[first]].tolist(), edges[ends[first]].tolist())]
         each = np.array(found, np.int64)[inverse]
         return out + np.bincount(np.asarray(owner)[part], weights=each, minlength=len(texts)).astype(np.int64)
 
