@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from leafmill.llm.bytebpe import op7_bytebpe
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
+from leafmill.llm.secrets import op2_secrets
 from leafmill.llm.tokencount import op6_tokencount
 from leafmill.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op4_mix": op4_mix,
     "op6_tokencount": op6_tokencount,
     "op7_bytebpe": op7_bytebpe,
