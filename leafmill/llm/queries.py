@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm.bytebpe import op7_bytebpe
+from leafmill.llm.lattice import op8_lattice
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
 from leafmill.llm.secrets import op2_secrets
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op6_tokencount": op6_tokencount,
     "op7_bytebpe": op7_bytebpe,
+    "op8_lattice": op8_lattice,
     "op9_toxicity": op9_toxicity,
     "op10_near": op10_near,
 }
