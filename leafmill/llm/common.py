@@ -47,19 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def saved(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
+def saved(spark: SparkSession, df: DataFrame, tag: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
+
+    rows: about how many rows its last stage works on, where that is known.  That stage then runs as one task
+    for each ``per_file`` of them at most, so that a small table does not become hundreds of tiny files."""
     path = f"{shared_dir(spark)}/leafmill/{tag}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out evenly, whatever its keys: for text work on files of uneven size."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -29,15 +29,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def components(spark: SparkSession, links: DataFrame) -> DataFrame:
+def components(spark: SparkSession, links: DataFrame, rows: int | None = None) -> DataFrame:
     """Rows vertex, component (the smallest vertex reachable) for every vertex of ``links`` (a, b) that is not
-    its own component.  No links: no rows."""
+    its own component.  No links: no rows.  ``rows``: about how many links there are, if that is known."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    edges = saved(spark, edges, "links")
+    edges = saved(spark, edges, "links", rows)
     shape = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(now) == shape or not now[0]:
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
         shape = tuple(now)
-        edges = saved(spark, _star(_star(edges, True), False), "links")
+        edges = saved(spark, _star(_star(edges, True), False), "links", 4 * now[0])

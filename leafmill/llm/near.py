@@ -173,19 +173,22 @@ def rest_pairs(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     """Each row of ``docs`` as doc_id, n_shingles, component_id, kept."""
     signed = saved(spark, signatures(docs, k), "near-signed")
+    count = signed.count()
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = saved(spark, classes, "near-classes")
+    classes = saved(spark, classes, "near-classes", count)
     reps = signed.join(classes, (signed["doc_id"] == classes["rep"]) & (signed["set_key"] == classes["set_key"]), "left_semi")
     rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    members = saved(spark, rows.join(shared, "key").select("key", "rep", "n"), "near-members")
+    members = saved(spark, rows.join(shared, "key").select("key", "rep", "n"), "near-members", count * BINS // BAND)
     asked = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = saved(spark, full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "near-sets")
-    links = saved(spark, confirmed(star_pairs(members), sets), "near-links")
-    found = components(spark, links)
-    more = confirmed(rest_pairs(members, found, sets), sets)
-    both = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more)
-    found = components(spark, both)
+    sets = full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    sets = saved(spark, sets, "near-sets", count, 5_000)
+    links = saved(spark, confirmed(star_pairs(members), sets), "near-links", count, 5_000)
+    found = components(spark, links, links.count())
+    more = saved(spark, confirmed(rest_pairs(members, found, sets), sets), "near-rest", count, 5_000)
+    if extra := more.count():
+        both = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more)
+        found = components(spark, both, found.count() + extra)
     named = classes.join(found, classes["rep"] == found["vertex"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.drop("bands").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
