@@ -10,6 +10,7 @@ from leafmill.llm.bytebpe import op7_bytebpe
 from leafmill.llm.lattice import op8_lattice
 from leafmill.llm.mixing import OP4_SQL, op4_mix
 from leafmill.llm.near import op10_near
+from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secrets
 from leafmill.llm.tokencount import op6_tokencount
 from leafmill.llm.toxicity import op9_toxicity
@@ -17,6 +18,7 @@ from leafmill.llm.toxicity import op9_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op4_mix": op4_mix,
+    "op5_quality": op5_quality,
     "op6_tokencount": op6_tokencount,
     "op7_bytebpe": op7_bytebpe,
     "op8_lattice": op8_lattice,
