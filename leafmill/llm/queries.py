@@ -14,8 +14,10 @@ from leafmill.llm.quality import op5_quality
 from leafmill.llm.secrets import op2_secrets
 from leafmill.llm.tokencount import op6_tokencount
 from leafmill.llm.toxicity import op9_toxicity
+from leafmill.llm.warc import OP1_SQL, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_secrets": op2_secrets,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
@@ -27,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc": OP1_SQL,
     "op4_mix": OP4_SQL,
 }
