@@ -157,9 +157,10 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataF
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
+def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:
+    """Number of ids and digests of ids and decoded bytes of each row; with ``ids`` the ids too."""
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", *(["ids"] if ids else []), F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op7_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:

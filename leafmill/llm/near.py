@@ -197,3 +197,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFra
 
 def op10_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), k=4)
+
+
+def without_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
+    """``docs``, all columns, with one document of each component.
+
+    The document with the smallest id stays; of rows that repeat both id and text one stays.  An id that two different
+    texts share stays if one of its rows does.  Rows without an id stay."""
+    told = saved(spark, near_duplicates(spark, docs, k), "near-told")
+    gone = told.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("n"))
+    gone = saved(spark, gone.where("doc_id is not null and (stays = 0 or n > 1)"), "near-gone", told.count())
+    out = docs.join(gone.where("stays = 0").select(F.col("doc_id").alias("near_id")), F.col("doc_id").cast("long") == F.col("near_id"), "left_anti")
+    twice = gone.where("stays = 1").select(F.col("doc_id").alias("near_id"))
+    if twice.isEmpty():
+        return out
+    same = F.col("doc_id").cast("long") == F.col("near_id")
+    return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

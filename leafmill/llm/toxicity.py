@@ -272,3 +272,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train_model(spark, docs, table(spark, sf_dir, "labels"))
     return scored(docs, model).select("doc_id", (remainder(F.col("doc_id"), FOLDS) == HELD).alias("held_out"), "score", "predicted")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below the threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.lexicon)
+        for batch in batches:
+            for piece in chunks(batch.column(at)):
+                x = np.array([reader.features(piece.text(i).decode("utf-8", "replace")) for i in range(len(piece))])
+                score = sigmoid(x @ model.weights[:-1] + model.weights[-1])
+                yield batch.slice(piece.first, len(piece)).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
