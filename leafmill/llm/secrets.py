@@ -117,13 +117,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["stop"])), ",")
 
 
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = saved(spark, find(docs, ["doc_id"]).withColumn("_sec_row", F.monotonically_increasing_id()), "secrets")
     told = judged(spark, found)
     base = F.filter("_sec_spans", lambda s: s["kind"] < len(BASE))
     more = F.filter("_sec_live", lambda s: s["kind"] >= len(BASE))
-    counts = [F.size(F.filter("_sec_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(BASE)]
+    counts = [_count("_sec_spans", i).alias(f"n_{kind}") for i, kind in enumerate(BASE)]
     return told.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.concat(base, more)).alias("spans"), F.size("_sec_live").cast("long").alias("n_live"), F.size("_sec_copied").cast("long").alias("n_copied"))
 
 
