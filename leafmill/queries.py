@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafmill.operators import aggregates, check, records as ops, skos
 from leafmill.operators.project import Matcher, Query, control_number
 from leafmill.sources import tables
+from leafmill.sources.encode import encoded
+from leafmill.sources.scan import decoded
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -171,6 +173,18 @@ def _normal(text):
     return normalized(normalized(text, "nfd"), "nfc")
 
 
+
+
+def _recoded(spark: SparkSession, sf_dir: str, tags: set[str] | None, damage: str | None = None) -> DataFrame:
+    """Records as bytes, perhaps damaged, and back."""
+    raw = encoded(tables.orders(spark, sf_dir, tags)).select("source", "ord", F.expr("substring(raw, 1, length(raw) - 1)").alias("content"))
+    return decoded(raw.withColumn("content", F.expr(damage)) if damage else raw)
+
+
+add("q_roundtrip", lambda s, d: Query.parse("001, 005, 650{ a, b }").select(_recoded(s, d, None), "cn, date, part, supplier"), f"SELECT o_orderkey::VARCHAR AS cn, strftime(o_orderdate, '%Y%m%d%H%M%S') || '.0' AS date, coalesce(l_partkey::VARCHAR, '') AS part, coalesce(l_suppkey::VARCHAR, '') AS supplier FROM {ITEMS}")
+_BROKEN = "CASE WHEN ord % 7 = 0 THEN concat(X'78', substring(content, 2)) WHEN ord % 11 = 0 THEN concat(content, X'78') ELSE content END"
+add("q_invalid", lambda s, d: _recoded(s, d, {"001", "490"}, _BROKEN).where("not valid").select("ord", "err"), "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid leader' ELSE 'invalid size' END AS err FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
+
 # -- rules and graphs --------------------------------------------------------------
 
 RULES = """
