@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import Piece, chunks, gathered, unique_slices
+from leafmill.llm.arrays import Piece, chunks, gathered, lean, unique_slices
 from leafmill.llm.common import table
 from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
@@ -128,7 +128,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame
         for batch in batches:
             yield from _encoded(known, batch)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, ends array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids array<int>, ends array<long>")
 
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -140,7 +140,7 @@ def decode(spark: SparkSession, encoded: DataFrame, vocabulary: bytes) -> DataFr
         for batch in batches:
             yield _decoded(known, batch)
 
-    return encoded.select("doc_id", "ids", "ends").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return encoded.select("doc_id", "ids", "ends").mapInArrow(lean(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
@@ -154,7 +154,7 @@ def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataF
             for made in _encoded(known, batch):
                 yield _decoded(known, made)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(decoded: DataFrame, ids: bool = False) -> DataFrame:

@@ -24,8 +24,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ROOT = str(Path(__file__).resolve().parents[2])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to a Python worker at once, where the session leaves that open: rows hold whole texts."""
+    for name, value in (("maxRecordsPerBatch", "1000"), ("maxBytesPerBatch", str(8 << 20))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it."""
+    """Let the Python workers import this package from where the driver has it, and bound what they get at once."""
+    bound_batches(spark)
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if _ROOT not in path.split(":"):

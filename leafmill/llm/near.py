@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import U64, chunks, distinct_sorted, mixed, shingles
+from leafmill.llm.arrays import U64, chunks, distinct_sorted, lean, mixed, shingles
 from leafmill.llm.common import saved, table
 from leafmill.llm.graphs import components
 
@@ -98,7 +98,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(count, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), lists], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, shingles array<long>")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -207,9 +207,10 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> Data
     told = saved(spark, near_duplicates(spark, docs, k), "near-told")
     gone = told.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("n"))
     gone = saved(spark, gone.where("doc_id is not null and (stays = 0 or n > 1)"), "near-gone", told.count())
-    out = docs.join(gone.where("stays = 0").select(F.col("doc_id").alias("near_id")), F.col("doc_id").cast("long") == F.col("near_id"), "left_anti")
+    dropped = gone.where("stays = 0").select(F.col("doc_id").alias("near_id"))
+    out = docs.join(dropped, docs["doc_id"].cast("long") == dropped["near_id"], "left_anti")
     twice = gone.where("stays = 1").select(F.col("doc_id").alias("near_id"))
     if twice.isEmpty():
         return out
-    same = F.col("doc_id").cast("long") == F.col("near_id")
+    same = out["doc_id"].cast("long") == twice["near_id"]
     return out.join(twice, same, "left_anti").unionByName(out.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -8,7 +8,7 @@ from typing import TypeVar
 
 T = TypeVar("T")
 #: Entries of a generation of a worker's cache; the bound changes speed and no result.
-CACHE = 200_000
+CACHE = 100_000
 _SHIFT = 20  # token numbers are below 2 ** 20
 _NONE = 1 << 60
 

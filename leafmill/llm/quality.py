@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import SPACE, U64, Piece, chunks, slice_hashes, window_hashes, words
+from leafmill.llm.arrays import SPACE, U64, Piece, chunks, lean, slice_hashes, window_hashes, words
 from leafmill.llm.common import table
 from leafmill.llm.logistic import fit, sigmoid
 
@@ -150,7 +150,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), *made], ["y", "at", "value"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("y", "text")
-    return rows.mapInArrow(run, "y int, at binary, value binary")
+    return rows.mapInArrow(lean(run), "y int, at binary, value binary")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 60) -> Model | None:
@@ -204,7 +204,7 @@ def judged(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *names, "base_failed", "kept", "probability"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, probability double")
+    return rows.mapInArrow(lean(run), "doc_id long, " + ", ".join(f"{k} long" for k in names) + ", base_failed boolean, kept boolean, probability double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

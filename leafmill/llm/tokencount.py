@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import chunks, unique_slices
+from leafmill.llm.arrays import chunks, lean, unique_slices
 from leafmill.llm.common import table
 from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
@@ -138,7 +138,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> Dat
                 columns = [batch.column(0).slice(piece.first, len(piece)), pa.array(np.diff(piece.offsets)), pa.array(known.count(texts))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
 
 
 def op6_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import Piece, chunks, gathered
+from leafmill.llm.arrays import Piece, chunks, gathered, lean
 from leafmill.llm.common import table
 
 WIDTH = 64
@@ -558,7 +558,7 @@ def samples_stored(docs: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, media binary, samples binary, feature string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, samples binary, feature string")
 
 
 def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
