@@ -15,8 +15,7 @@ a round come to the driver.  The join back to the documents is left to Spark, wh
 
 Defined results.  Null text: size 0.  Null source: a source of its own, ranked last.  Null id: hashed as
 the empty text.  Sources without words: target 0.  Empty table: no rows.  Repeated rows draw alike, as
-the draw depends on their content.  Columns of the input that share a name with a column made here are
-kept by ``mix`` and ``emit``, whose own columns all begin with ``mix_``.
+the draw depends on their content.  ``emit`` returns all columns of the input, whatever their names, as they travel in a struct.
 """
 
 from __future__ import annotations
@@ -95,10 +94,10 @@ def copies(target: Column, total: Column, chance: Column) -> Column:
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, keep_all: bool = False) -> DataFrame:
     """Each document with mix_size, mix_total, mix_target (of its source) and mix_copies.
 
-    Only doc_id and source are carried along unless ``keep_all``, which keeps every column of ``docs``.
+    Only doc_id and source are carried along unless ``keep_all``, which keeps every column of ``docs`` in the struct ``row``.
     The columns are written once, so that texts are read and counted a single time."""
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep_all else [F.col("doc_id"), F.col("source")]
-    sized = docs.select(*own, word_count(F.col("text")).alias("mix_size"), draw(F.col("doc_id"), F.col("text"), seed).alias("mix_draw"))
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep_all else []
+    sized = docs.select(*own, F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("mix_size"), draw(F.col("doc_id"), F.col("text"), seed).alias("mix_draw"))
     sized = saved(spark, sized, "mix-sized")
     goals = source_targets(spark, source_totals(sized), weights, share, most)
     goals = goals.select(F.col("src").alias("mix_src"), F.col("total").alias("mix_total"), F.col("target").alias("mix_target"))
@@ -107,9 +106,9 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """Every document as many times as the mix takes it, without the columns of the mix."""
-    out = mixed.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
-    return out.drop("mix_copy", "mix_copies", "mix_size", "mix_total", "mix_target")
+    """The rows of ``mix`` with ``keep_all``, as they came, each as many times as the mix takes it."""
+    taken = mixed.where("mix_copies > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+    return taken.select("row.*")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

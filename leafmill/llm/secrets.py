@@ -13,7 +13,7 @@ Scale: only candidates are shuffled.  A hash that a third of all documents hold
 moves, and the join back is on an equi-key that Spark may split.  A document's own spans are brought together, nothing larger.
 
 Defined results.  Null or empty text: no spans.  Null source: an owner of its own.  Rows count by themselves even if ids are null
-or repeated.  Empty table: no rows.  ``redact`` keeps all columns of its input; its own begin with ``_sec_``."""
+or repeated.  Empty table: no rows.  ``redact`` keeps all columns of its input, which travel in a struct, whatever their names."""
 
 from __future__ import annotations
 
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.llm.arrays import lean
 from leafmill.llm.common import saved, table
 
 BASE = ("assign", "access", "hex")
@@ -73,10 +74,11 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def find(docs: DataFrame, kept: list[str], owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """The columns ``kept`` of docs, and _sec_owner, _sec_repo, _sec_spans (start, kind, stop, hash of the value)."""
+    """Each row as ``row`` (a struct of the columns ``kept``), _sec_owner, _sec_repo, _sec_spans (start, kind, stop, hash of the value)."""
     owners = F.coalesce(F.concat(F.lit("="), F.col(f"`{owner}`").cast("string")), F.lit(""))
     repo = F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in repository)))
-    plan = docs.select(*(F.col(f"`{c}`") for c in kept), owners.alias("_sec_owner"), repo.alias("_sec_repo"), F.col("text").cast("string").alias("_sec_text"))
+    own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    plan = docs.select(own, owners.alias("_sec_owner"), repo.alias("_sec_repo"), F.col("text").cast("string").alias("_sec_text"))
     rest = plan.drop("_sec_text").schema
     shape = T.StructType([*rest.fields, T.StructField("_sec_spans", T.DataType.fromDDL(f"array<{SPAN}>"))])
     spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("value", pa.string())]))
@@ -90,7 +92,7 @@ def find(docs: DataFrame, kept: list[str], owner: str = "source", repository: tu
             names = [f.name for f in batch.schema][:-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, spans)], [*names, "_sec_spans"])
 
-    return plan.mapInArrow(run, shape)
+    return plan.mapInArrow(lean(run), shape)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("_sec_spans", lambda s: s["kind"] < len(BASE))
     more = F.filter("_sec_live", lambda s: s["kind"] >= len(BASE))
     counts = [_count("_sec_spans", i).alias(f"n_{kind}") for i, kind in enumerate(BASE)]
-    return told.select("doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.concat(base, more)).alias("spans"), F.size("_sec_live").cast("long").alias("n_live"), F.size("_sec_copied").cast("long").alias("n_copied"))
+    return told.select("row.doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.concat(base, more)).alias("spans"), F.size("_sec_live").cast("long").alias("n_live"), F.size("_sec_copied").cast("long").alias("n_copied"))
 
 
 MARK = "[secret]"
@@ -138,26 +140,25 @@ def redact(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with everything that looks live replaced by a mark, n_chars set anew where it is a column."""
     names = docs.columns
     found = saved(spark, find(docs, names).withColumn("_sec_row", F.monotonically_increasing_id()), "secrets")
-    clean = found.where(F.size("_sec_spans") == 0).select(*(F.col(f"`{c}`") for c in names))
-    told = judged(spark, found.where(F.size("_sec_spans") > 0)).select(*(F.col(f"`{c}`") for c in names), "_sec_live")
+    clean = found.where(F.size("_sec_spans") == 0).select("row.*")
+    told = judged(spark, found.where(F.size("_sec_spans") > 0)).select("row", "_sec_live")
     shape = docs.schema
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            columns, texts = batch.column(0).flatten(), []
+            for text, spans in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 out, last = [], 0
                 for span in sorted(spans, key=lambda s: (s["start"], -s["stop"])):
                     if span["stop"] > last:
                         out += [text[last : max(last, span["start"])], MARK]
                         last = span["stop"]
                 texts.append("".join([*out, text[last:]]) if spans else text)
-            columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    cut = told.mapInArrow(run, shape)
+    cut = told.mapInArrow(lean(run), shape)
     if "n_chars" in names:
         cut = cut.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(shape["n_chars"].dataType)))
     return clean.unionByName(cut)
