@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import U64, chunks, distinct_sorted, mixed, shingles
+from leafmill.llm.arrays import U64, chunks, distinct_sorted, lean, mixed, shingles
 from leafmill.llm.common import remainder, saved, table
 from leafmill.llm.logistic import fit, sigmoid
 
@@ -85,7 +85,7 @@ def grammar() -> Transducer:
 #: Patterns: (insult, threat) x negated x reported x target in the clause; then the strongest word, and the length.
 PATTERNS = 16
 FEATURES = PATTERNS + 2
-PRIOR = np.array([w * t for kind in (1.5, 0.5) for n in (1.0, 0.4) for r in (1.0, 0.6) for t in (1.0, 1.3) for w in [kind]] + [0.3, 0.0, -3.5])
+PRIOR = np.array([kind * n * r * t for kind in (1.5, 0.5) for n in (1.0, 0.4) for r in (1.0, 0.6) for t in (1.0, 1.3)] + [0.3, 0.0, -3.5])
 
 
 @dataclass
@@ -112,7 +112,7 @@ class Reader:
             kind, weight = self.closed.get(word, OTHER), 1.0
             if kind in (OTHER, TARGET, THREAT) and (w := self.lexicon.weight(word)) > 0:
                 kind, weight = INSULT, w
-            if len(self.kept) >= 400_000:
+            if len(self.kept) >= 150_000:
                 self.kept.clear()
             found = self.kept[word] = (kind, weight)
         return found
@@ -166,7 +166,7 @@ def copy_keys(rows: DataFrame) -> DataFrame:
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text", "label", "keys"])
 
-    return rows.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, text string, label int, keys array<long>")
+    return rows.select("doc_id", "text", "label").mapInArrow(lean(run), "doc_id long, text string, label int, keys array<long>")
 
 
 def without_copies(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _unit_counts(rows: DataFrame, among: frozenset[str] | None = None) -> DataFr
                     yield out()
         yield out()
 
-    return rows.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(lean(run), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
@@ -248,7 +248,7 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["label", "x"])
 
     # the sample's bound holds for these rows too: 18 numbers each
-    got = rows.select("text", "label").mapInArrow(run, "label int, x array<double>").toPandas()
+    got = rows.select("text", "label").mapInArrow(lean(run), "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
     return Model(lexicon, fit(x, got["label"].to_numpy(float), PRIOR))
 
@@ -264,7 +264,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = sigmoid(x @ model.weights[:-1] + model.weights[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(score)], ["doc_id", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -286,4 +286,4 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 score = sigmoid(x @ model.weights[:-1] + model.weights[-1])
                 yield batch.slice(piece.first, len(piece)).filter(pa.array(score < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
