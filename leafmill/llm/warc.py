@@ -12,8 +12,7 @@ file that it does not list is not part of the archive.
 
 Reading.  The files of the manifest are dealt to tasks; each is read as a stream of gzip members, digests are checked.
 
-Scale: payloads are shuffled once, by shard.  Duplicates are found on digests alone and brought back by a join in which copies
-count only if there are several.  The plan of the shards is made from at most ``BUCKETS`` sums.  A bucket of ids that is larger than
+Scale: payloads are shuffled once, by shard.  Duplicates are found on digests alone, and only marks of revisits travel to the shards.  The plan of the shards is made from at most ``BUCKETS`` sums.  A bucket of ids that is larger than
 a shard (one id repeated millions of times) is divided further by digest.
 
 Files are reached by pyarrow's file systems under the shared folder (local, S3, GCS, HDFS).
@@ -35,6 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.llm.arrays import lean
 from leafmill.llm.common import shared_dir, table
 
 LEAST = 100
@@ -120,14 +120,17 @@ MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
 _MANIFEST = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """Rows page_id, url, payload, digest, first, revisit."""
+def digested(pages: DataFrame) -> DataFrame:
+    """Rows page_id, url, payload, digest."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    large = F.length("payload") >= LEAST
-    shared = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    rows = rows.join(shared.select("digest", "first"), "digest", "left")
-    return rows.withColumn("revisit", F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    return rows.withColumn("digest", F.sha2("payload", 256))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """Rows page_id, digest, first: which pages only repeat the payload of page ``first``.  Payloads are left behind here."""
+    large = rows.where(F.length("payload") >= LEAST).select("page_id", "digest")
+    shared = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    return large.join(shared.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
 
 
 def shard_plan(spark: SparkSession, rows: DataFrame, shard: int) -> DataFrame:
@@ -154,33 +157,41 @@ def shard_plan(spark: SparkSession, rows: DataFrame, shard: int) -> DataFrame:
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: int = SHARD, roll: int = ROLL) -> DataFrame:
     """Writes the archive and returns its manifest, read back from where it was committed."""
-    rows = with_revisits(pages)
-    sizes = pages.select(F.col("page_id").cast("long"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = digested(pages)
+    # a revisit's mark goes to the same shard as its page and is sorted before it, so payloads move only once
+    marks = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
+    both = rows.withColumn("first", F.lit(None).cast("long")).unionByName(marks)
+    sizes = rows.select("page_id", "payload")
     plan = shard_plan(spark, sizes, shard)
     first = plan.select("low", "shift").first() or {"low": 0, "shift": 0}
     count = plan.agg(F.max(F.col("base") + F.col("ways"))).first()[0] or 1
     bucket = F.coalesce(F.shiftright(F.col("page_id") - first["low"], first["shift"]), F.lit(-1))
     way = F.floor(F.conv(F.substring("digest", 1, 6), 16, 10).cast("long") * F.col("ways") / F.lit(1 << 24))
-    dealt = rows.withColumn("bucket", bucket).join(F.broadcast(plan.select("bucket", "base", "ways")), "bucket").withColumn("shard", F.col("base") + way)
-    dealt = dealt.select("shard", "page_id", "url", "payload", "digest", "first", "revisit")
-    dealt = dealt.repartition(int(count), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
+    dealt = both.withColumn("bucket", bucket).join(F.broadcast(plan.select("bucket", "base", "ways")), "bucket").withColumn("shard", F.col("base") + way)
+    dealt = dealt.select("shard", "page_id", "url", "payload", "digest", "first")
+    dealt = dealt.repartition(int(count), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), "url")
     files, path = opened(folder)
     files.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_now: Roller | None = None
+        marked, target = None, None
         for batch in batches:
             done = []
-            for shard_, page, url, payload, digest, first_, revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                if open_now is None or open_now.shard != shard_:
+            for at, page, url, payload, digest, first_ in zip(*(c.to_pylist() for c in batch.columns)):
+                if payload is None:
+                    marked, target = (page, digest), first_
+                    continue
+                if open_now is None or open_now.shard != at:
                     done.append(open_now.close() if open_now else None)
-                    open_now = Roller(folder, shard_, roll)
-                done.append(open_now.add(record(page, url, payload, digest, first_, revisit)))
+                    open_now = Roller(folder, at, roll)
+                again = marked == (page, digest)
+                done.append(open_now.add(record(page, url, payload, digest, target if again else None, again)))
             yield pa.RecordBatch.from_pylist([x for x in done if x], _MANIFEST)
         if open_now and (last := open_now.close()):
             yield pa.RecordBatch.from_pylist([last], _MANIFEST)
 
-    dealt.mapInArrow(run, MANIFEST).coalesce(int(count)).write.parquet(f"{folder}/manifest")
+    dealt.mapInArrow(lean(run), MANIFEST).coalesce(int(count)).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -240,7 +251,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
-    return names.mapInArrow(run, RECORD)
+    return names.mapInArrow(lean(run), RECORD)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
