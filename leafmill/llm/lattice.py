@@ -2,7 +2,7 @@
 
 The pieces are those of an existing subword vocabulary; a word is a blank and its bytes, and every single byte is a piece,
 so each word has at least one segmentation.  Starting from the vocabulary's own order of merit (its scores), piece
-probabilities are re-estimated from the training documents by two rounds of expected counts over all segmentations.  Forward
+probabilities are re-estimated from the training documents by four rounds of expected counts over all segmentations.  Forward
 recursion in log space then gives the marginal probability of each word; a document is the product over its words and one end.
 
 The recursion is done once for every distinct word, not for every word of every text:
@@ -22,6 +22,7 @@ are scored one by one.  No training documents: counts are 0 and the vocabulary's
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import U64, chunks, mixed, powers
+from leafmill.llm.arrays import U64, chunks, lean, mixed, powers
 from leafmill.llm.common import remainder, saved, table
 
 FOLDS, HELD = 7, 2
-ROUNDS = 2
-BLOCK = 4 << 20
+ROUNDS = 4
+BLOCK = 16 << 20  # bytes of text
 LONGEST = 16  # bytes of a piece
 _BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _LN10 = math.log(10)
@@ -61,11 +62,21 @@ def read_pieces(path: str) -> list[bytes]:
 class Pieces:
     """Piece look-up by hash for many words at once.  The end of a document is the number after the last piece."""
 
+    SLOTS = 19  # bits
+
     def __init__(self, pieces: list[bytes]) -> None:
-        keys = np.array([self._key(p) for p in pieces], U64)
-        self.order = np.argsort(keys).astype(np.int64)
-        self.keys = keys[self.order]
         self.count = len(pieces)
+        keys = np.array([self._key(p) for p in pieces], U64)
+        slot = (keys >> U64(64 - self.SLOTS)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        first = np.searchsorted(slot[order], slot[order])
+        depth = np.arange(len(order)) - first  # pieces of one slot lie in layers
+        self.layers = []
+        for level in range(int(depth.max(initial=0)) + 1):
+            own = order[depth == level]
+            held, number = np.zeros(1 << self.SLOTS, U64), np.full(1 << self.SLOTS, -1, np.int32)
+            held[slot[own]], number[slot[own]] = keys[own], own
+            self.layers.append((held, number))
 
     @staticmethod
     def _key(piece: bytes) -> int:
@@ -75,10 +86,15 @@ class Pieces:
         return int(mixed(np.array([total % (1 << 64)], U64) + U64(len(piece)))[0])
 
     def find(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
-        """For each word (row), the number of the piece at bytes i:j, or -1."""
-        key = mixed((sums[:, j] - sums[:, i]) * powers(_INVERSE, i)[i] + U64(j - i))
-        at = np.minimum(np.searchsorted(self.keys, key), self.count - 1)
-        return np.where(self.keys[at] == key, self.order[at], -1)
+        """For each word (column of sums), the number of the piece at bytes i:j, or -1."""
+        key = mixed((sums[j] - sums[i]) * powers(_INVERSE, i)[i] + U64(j - i))
+        slot = (key >> U64(64 - self.SLOTS)).astype(np.int64)
+        held, number = self.layers[0]
+        found = np.where(held[slot] == key, number[slot], -1)
+        for held, number in self.layers[1:]:
+            more = np.flatnonzero(held[slot])
+            found[more] = np.where(held[slot[more]] == key[more], number[slot[more]], found[more])
+        return found
 
     def start(self) -> np.ndarray:
         """Log probabilities by the vocabulary's order, the end included."""
@@ -97,7 +113,6 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
 
     With ``weights`` and ``expected``: adds each piece's expected count, by forward and backward recursion.  Words of
     equal length advance together."""
-    scores = np.append(logp, -np.inf)  # number -1: no piece
     out = np.zeros(len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     order = np.argsort(sizes, kind="stable")
@@ -107,30 +122,31 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
         step = max(1, (1 << 18) // max(1, width))
         for rows in (group[a : a + step] for a in range(0, len(group), step)):
             data = np.frombuffer(b"".join(b" " + words[r] for r in rows), np.uint8).reshape(len(rows), width)
-            sums = np.zeros((len(rows), width + 1), U64)
-            np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, width + 1)[1 : width + 1], axis=1, out=sums[:, 1:])
+            sums = np.zeros((width + 1, len(rows)), U64)
+            np.cumsum((data.T.astype(U64) + U64(1)) * powers(_BASE, width + 1)[1 : width + 1, None], axis=0, out=sums[1:])
             ahead = np.full((width + 1, len(rows)), -np.inf)
             ahead[0] = 0.0
             arcs = []
             for j in range(1, width + 1):
                 for i in range(max(0, j - LONGEST), j):
                     number = known.find(sums, i, j)
-                    if (number >= 0).any():
-                        score = scores[number]
-                        ahead[j] = np.logaddexp(ahead[j], ahead[i] + score)
+                    on = np.flatnonzero(number >= 0)
+                    if len(on):
+                        score = logp[number[on]]
+                        ahead[j, on] = np.logaddexp(ahead[j, on], ahead[i, on] + score)
                         if expected is not None:
-                            arcs.append((i, j, number, score))
+                            arcs.append((i, j, on, number[on], score))
             out[rows] = ahead[width]
             if expected is None:
                 continue
             back = np.full((width + 1, len(rows)), -np.inf)
             back[width] = 0.0
-            for i, j, _, score in reversed(arcs):  # by falling end: what ends at j is complete before j is used
-                back[i] = np.logaddexp(back[i], score + back[j])
-            for i, j, number, score in arcs:
-                on = number >= 0
-                share = np.exp(ahead[i] + score + back[j] - ahead[width])[on] * weights[rows][on]
-                expected += np.bincount(number[on], weights=share, minlength=len(expected))
+            for i, j, on, _, score in reversed(arcs):  # by falling end: what ends at j is complete before j is used
+                back[i, on] = np.logaddexp(back[i, on], score + back[j, on])
+            weight = weights[rows]
+            for i, j, on, number, score in arcs:
+                share = np.exp(ahead[i, on] + score + back[j, on] - ahead[width, on]) * weight[on]
+                np.add.at(expected, number, share)
     return out
 
 
@@ -141,44 +157,66 @@ def blocks(docs: DataFrame) -> DataFrame:
     shape = pa.schema(fields)
     lower = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-    def made(block: int, texts: list[tuple[int | None, bool, dict[bytes, int]]]) -> Iterator[pa.RecordBatch]:
-        numbers: dict[bytes, int] = {}
-        train: list[int] = []
-        lists = []
-        for _, held, counted in texts:
-            own = []
+    class Block:
+        def __init__(self, number: int) -> None:
+            self.number, self.size = number, 0
+            self.numbers: dict[bytes, int] = {}
+            self.train = array("q")
+            self.ids, self.helds, self.own, self.counts, self.ends = [], [], array("i"), array("i"), [0]
+
+        def add(self, doc_id: int | None, held: bool, text: bytes) -> None:
+            counted: dict[bytes, int] = {}
+            for word in text.translate(lower).split():  # bytes are split at ASCII white space
+                counted[word] = counted.get(word, 0) + 1
+            numbers, train, own = self.numbers, self.train, self.own
             for word, n in counted.items():
-                k = numbers.setdefault(word, len(train))
-                if k == len(train):
+                k = numbers.get(word)
+                if k is None:
+                    k = numbers[word] = len(train)
                     train.append(0)
                 if not held:
                     train[k] += n
                 own.append(k)
-            lists.append((own, list(counted.values())))
-        n, d = len(numbers), len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(list(numbers), pa.binary()), pa.array(train, pa.int64()), pa.array(range(n), pa.int32()), *(pa.nulls(n, t) for _, t in fields[4:])], schema=shape)
-        yield pa.RecordBatch.from_arrays([pa.array([block] * d, pa.int64()), *(pa.nulls(d, t) for _, t in fields[1:4]), pa.array([t[0] for t in texts], pa.int64()), pa.array([t[1] for t in texts], pa.bool_()), pa.array([x[0] for x in lists], fields[6][1]), pa.array([x[1] for x in lists], fields[7][1])], schema=shape)
+            self.counts.extend(counted.values())
+            self.ids.append(doc_id), self.helds.append(held), self.ends.append(len(own))
+            self.size += len(text) + 64
+
+        def made(self) -> Iterator[pa.RecordBatch]:
+            n, d = len(self.numbers), len(self.ids)
+            yield pa.RecordBatch.from_arrays([pa.array([self.number] * n, pa.int64()), pa.array(list(self.numbers), pa.binary()), pa.array(np.array(self.train, np.int64)), pa.array(np.arange(n, dtype=np.int32)), *(pa.nulls(n, t) for _, t in fields[4:])], schema=shape)
+            ends = pa.array(self.ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.array(x, np.int32))) for x in (self.own, self.counts)]
+            yield pa.RecordBatch.from_arrays([pa.array([self.number] * d, pa.int64()), *(pa.nulls(d, t) for _, t in fields[1:4]), pa.array(self.ids, pa.int64()), pa.array(self.helds, pa.bool_()), *lists], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, texts = TaskContext.get().partitionId() << 32, 0, []
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids, helds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for piece in chunks(batch.column(2)):
                 for i in range(len(piece)):
-                    counted: dict[bytes, int] = {}
-                    for word in piece.text(i).translate(lower).split():  # bytes are split at ASCII white space
-                        counted[word] = counted.get(word, 0) + 1
-                    texts.append((ids[piece.first + i], helds[piece.first + i], counted))
-                size += len(piece.data)
-                if size >= BLOCK:
-                    yield from made(block, texts)
-                    block, size, texts = block + 1, 0, []
-        if texts:
-            yield from made(block, texts)
+                    block.add(ids[piece.first + i], helds[piece.first + i], piece.text(i))
+                if block.size >= BLOCK:
+                    yield from block.made()
+                    block = Block(block.number + 1)
+        if block.ids:
+            yield from block.made()
 
     held = remainder(F.col("doc_id"), FOLDS) == HELD
     rows = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "block long, word binary, train long, number int, doc_id long, held boolean, numbers array<int>, counts array<int>")
+    return rows.mapInArrow(lean(run), "block long, word binary, train long, number int, doc_id long, held boolean, numbers array<int>, counts array<int>")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in batches of about ``rows``: words of equal length advance together, so many are wanted at once."""
+    held, count = [], 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, count = [], 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def word_scores(words: DataFrame, pieces: tuple[bytes, ...], logp: np.ndarray) -> DataFrame:
@@ -186,10 +224,10 @@ def word_scores(words: DataFrame, pieces: tuple[bytes, ...], logp: np.ndarray) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _pieces(pieces)
-        for batch in batches:
+        for batch in gathered(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice(batch.column(0).to_pylist(), known, logp))], ["word", "train", "logp"])
 
-    return words.select("word", "train").mapInArrow(run, "word binary, train long, logp double")
+    return words.select("word", "train").mapInArrow(lean(run), "word binary, train long, logp double")
 
 
 def expected_counts(words: DataFrame, pieces: tuple[bytes, ...], logp: np.ndarray) -> np.ndarray:
@@ -198,12 +236,12 @@ def expected_counts(words: DataFrame, pieces: tuple[bytes, ...], logp: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _pieces(pieces)
         total = np.zeros(known.count + 1)
-        for batch in batches:
+        for batch in gathered(batches):
             lattice(batch.column(0).to_pylist(), known, logp, batch.column(1).to_numpy(zero_copy_only=False).astype(float), total)
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["piece", "n"])
 
-    rows = words.where("train > 0").select("word", "train").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
+    rows = words.where("train > 0").select("word", "train").mapInArrow(lean(run), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(pieces) + 1)
     out[rows["piece"].to_numpy(np.int64)] = rows["n"]
     return out
