@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from leafmill.operators.project import Path, Query
-from leafmill.plans.ast import CODES
-from leafmill.plans.compiler import THRESHOLD, code_values, width
+from leafmill.plans.compiler import THRESHOLD, width
 
 
 def count(records: DataFrame) -> DataFrame:
@@ -36,16 +35,16 @@ def frequency(records: DataFrame, query: str | Query, unique: bool = False, reve
 def describe(records: DataFrame) -> DataFrame:
     """Rows field, ind1, ind2 and a column for each subfield code with how often it stands there.
 
-    The codes that exist come from an aggregate over at most 62 values; the table is then one pass with partial sums."""
+    One pass counts tags, indicators and codes with partial sums; that small table is kept while the codes in it become columns."""
     fields = records.select(F.explode("fields").alias("f")).where("f.subfields is not null")
-    found = fields.select(F.explode("f.subfields.code").alias("code")).distinct()
-    codes = [c for c in CODES if c in {r["code"] for r in found.collect()}]
-    codes.sort()
-    counts = [F.sum(F.size(code_values(c, F.col("f.subfields")))).cast("long").alias(c) for c in codes]
     keys = [F.col("f.tag").alias("field"), F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2")]
-    if not counts:
-        return fields.select(*keys).distinct()
-    return fields.groupBy(*keys).agg(*counts).orderBy("field", "ind1", "ind2")
+    each = fields.select(*keys, F.explode_outer("f.subfields.code").alias("code"))
+    counted = each.groupBy("field", "ind1", "ind2", "code").agg(F.count("*").alias("n")).persist()
+    codes = sorted(r["code"] for r in counted.select("code").distinct().collect() if r["code"] is not None)
+    names = [F.sum(F.when(F.col("code") == c, F.col("n")).otherwise(F.lit(0))).alias(c) for c in codes]
+    if not names:
+        return counted.select("field", "ind1", "ind2").distinct()
+    return counted.groupBy("field", "ind1", "ind2").agg(*names).orderBy("field", "ind1", "ind2")
 
 
 def glimpse(records: DataFrame, path: str | Path, max_values: int = 10) -> DataFrame:
