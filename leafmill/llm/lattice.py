@@ -39,6 +39,7 @@ FOLDS, HELD = 7, 2
 ROUNDS = 4
 BLOCK = 16 << 20  # bytes of text
 LONGEST = 16  # bytes of a piece
+WIDE = 256  # bytes of a word; longer ones are rare and go one by one
 _BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 _LN10 = math.log(10)
 
@@ -66,6 +67,7 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]) -> None:
         self.count = len(pieces)
+        self.index = {p: i for i, p in enumerate(pieces)}
         keys = np.array([self._key(p) for p in pieces], U64)
         slot = (keys >> U64(64 - self.SLOTS)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
@@ -115,7 +117,10 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
     equal length advance together."""
     out = np.zeros(len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    for r in np.flatnonzero(sizes > WIDE):
+        out[r] = _long(b" " + words[r], known, logp, 0.0 if weights is None else float(weights[r]), expected)
     order = np.argsort(sizes, kind="stable")
+    order = order[sizes[order] <= WIDE]
     edges = np.flatnonzero(np.diff(sizes[order])) + 1
     for group in np.split(order, edges):
         width = int(sizes[group[0]]) if len(group) else 0
@@ -150,6 +155,27 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
     return out
 
 
+def _long(word: bytes, known: Pieces, logp: np.ndarray, weight: float, expected: np.ndarray | None) -> float:
+    """The same recursions for one long word, in time and memory in proportion to its length."""
+    n, get, score = len(word), known.index.get, logp.tolist()
+
+    def summed(terms: list[float]) -> float:
+        most = max(terms)
+        return most + math.log(sum(math.exp(t - most) for t in terms))
+
+    ahead = [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        ahead[j] = summed([ahead[i] + score[k] for i in range(max(0, j - LONGEST), j) if (k := get(word[i:j])) is not None])
+    if expected is not None:
+        back = [0.0] * (n + 1)
+        for i in range(n - 1, -1, -1):
+            arcs = [(j, k) for j in range(i + 1, min(n, i + LONGEST) + 1) if (k := get(word[i:j])) is not None]
+            back[i] = summed([score[k] + back[j] for j, k in arcs])
+            for j, k in arcs:
+                expected[k] += weight * math.exp(ahead[i] + score[k] + back[j] - ahead[n])
+    return ahead[n]
+
+
 def blocks(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: (block, word, train, number) for a block's distinct words, with how often they stand in training
     texts, and (block, doc_id, held, numbers, counts) for its documents."""

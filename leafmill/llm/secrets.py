@@ -20,8 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,21 +59,38 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m.group()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end(), m.group()) for m in HEX.finditer(text)]
-    base = [(s, e) for s, _, e, _ in found]
     more = [(m.start(), 3, m.end(), m.group()) for m in PROVIDER.finditer(text)]
     if "-----BEGIN" in text:
         more += [(m.start(), 4, m.end(), m.group()) for m in KEY.finditer(text)]
     if "://" in text:
         more += [(m.start(1), 5, m.end(1), m.group(1)) for m in ADDRESS.finditer(text)]
     more += [(m.start(), 6, m.end(), m.group()) for m in MIXED.finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group()) and _bits(m.group()) >= 3.5]
-    taken = base
-    for span in sorted(more, key=lambda x: (x[1], x[0])):
-        if all(span[2] <= s or span[0] >= e for s, e in taken):
-            found.append(span)
-            taken = [*taken, (span[0], span[2])]
+    if more:
+        taken = Taken((start, end) for start, _, end, _ in found)
+        found += [span for span in sorted(more, key=lambda x: (x[1], x[0])) if taken.free(span[0], span[2])]
     return sorted(found)
 
 
+class Taken:
+    """Intervals that are taken, disjoint and in order; looking one up takes a binary search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for start, end in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(end, self.ends[-1])
+            else:
+                self.starts.append(start), self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        """Whether nothing of start:end is taken; if so, it is now."""
+        i = bisect_right(self.starts, start)
+        if i and self.ends[i - 1] > start or i < len(self.starts) and self.starts[i] < end:
+            return False
+        self.starts.insert(i, start), self.ends.insert(i, end)
+        return True
+
+
 def find(docs: DataFrame, kept: list[str], owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Each row as ``row`` (a struct of the columns ``kept``), _sec_owner, _sec_repo, _sec_spans (start, kind, stop, hash of the value)."""
     owners = F.coalesce(F.concat(F.lit("="), F.col(f"`{owner}`").cast("string")), F.lit(""))

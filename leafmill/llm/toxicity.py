@@ -51,6 +51,7 @@ GIVEN = 3.0
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 ENDS = frozenset(".!?;:\n")
 STEM = (4, 5, 6, 7)
+PART = 1 << 20  # characters that are read at a time
 
 
 @dataclass(frozen=True)
@@ -118,27 +119,37 @@ class Reader:
         return found
 
     def features(self, text: str) -> np.ndarray:
-        out = np.zeros(FEATURES)
+        out, count, at = np.zeros(FEATURES), 0, 0
+        while at < len(text):  # long texts in parts that end with a clause, so that memory is bounded
+            end = at + PART
+            if end < len(text):
+                cut = max(text.rfind(mark, at, end) for mark in ENDS)
+                end = cut + 1 if cut >= at else end
+            count += self._add(text[at:end], out)
+            at = end
+        out[:PATTERNS] = np.log1p(out[:PATTERNS])
+        out[-1] = math.log1p(count) / 10
+        return out
+
+    def _add(self, text: str, out: np.ndarray) -> int:
+        """Adds the weights of the patterns of whole clauses; returns the number of tokens."""
         tokens = TOKEN.findall(text.lower())
-        out[-1] = math.log1p(len(tokens)) / 10
         seen = [self.read(t) for t in tokens]
         if not any(kind in (INSULT, THREAT) for kind, _ in seen):
-            return out
-        state, held, target, most = 0, [], 0, 0.0
+            return len(tokens)
+        state, held, target = 0, [], 0
         for kind, weight in [*seen, (END, 0.0)]:
             state, said = self.step[state][kind]
             if said >= 4:
                 held.append((said - 4, weight))
-                most = max(most, weight * (kind == INSULT))
+                out[PATTERNS] = max(out[PATTERNS], weight * (kind == INSULT))
             if kind == TARGET:
                 target = 1
             elif kind == END:
                 for pattern, w in held:
                     out[pattern * 2 + target] += w
                 held, target = [], 0
-        out[:PATTERNS] = np.log1p(out[:PATTERNS])
-        out[PATTERNS] = most
-        return out
+        return len(tokens)
 
 
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, sample: int, folds: int | None, held: int | None) -> DataFrame:
