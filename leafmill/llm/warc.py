@@ -155,6 +155,15 @@ def shard_plan(spark: SparkSession, rows: DataFrame, shard: int) -> DataFrame:
     return out.withColumn("low", F.lit(low).cast("long")).withColumn("shift", F.lit(shift))
 
 
+def lanes(spark: SparkSession, count: int) -> DataFrame:
+    """Rows shard, lane: for each of ``count`` shards a number that hash partitioning sends to a partition of its own.
+
+    As many rows as there are shards, which ``BUCKETS`` and the shards' size bound."""
+    found = spark.range(20 * count + 64).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("shard")).agg(F.min("id").alias("lane"))
+    every = spark.range(count).select(F.col("id").alias("shard"))
+    return every.join(found.withColumn("shard", F.col("shard").cast("long")), "shard", "left").withColumn("lane", F.coalesce("lane", "shard"))
+
+
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: int = SHARD, roll: int = ROLL) -> DataFrame:
     """Writes the archive and returns its manifest, read back from where it was committed."""
     rows = digested(pages)
@@ -169,7 +178,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: in
     way = F.floor(F.conv(F.substring("digest", 1, 6), 16, 10).cast("long") * F.col("ways") / F.lit(1 << 24))
     dealt = both.withColumn("bucket", bucket).join(F.broadcast(plan.select("bucket", "base", "ways")), "bucket").withColumn("shard", F.col("base") + way)
     dealt = dealt.select("shard", "page_id", "url", "payload", "digest", "first")
-    dealt = dealt.repartition(int(count), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), "url")
+    dealt = dealt.join(F.broadcast(lanes(spark, int(count))), "shard").repartition(int(count), "lane").drop("lane").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), "url")
     files, path = opened(folder)
     files.create_dir(path, recursive=True)
 
