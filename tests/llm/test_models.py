@@ -31,6 +31,13 @@ def test_grammar():
     assert w @ plain > w @ told > 0 and w @ plain > w @ denied
 
 
+def test_long_texts_in_parts(monkeypatch):
+    text = "you are stupid. not an idiot; she said: scum! " * 40
+    whole = read(text)
+    monkeypatch.setattr(toxicity, "PART", 60)
+    assert np.allclose(read(text), whole)
+
+
 def test_compose_is_the_product():
     machine, parts = toxicity.grammar(), [4, 2]
     assert len(machine.step) == math.prod(parts) and all(len(r) == 7 for r in machine.step)
@@ -168,6 +175,18 @@ def test_lattice():
     assert math.isclose(half[PIECES.index(b"bc")], p[b"bc"] / (p[b"bc"] + p[b"b"] * p[b"c"]))
 
 
+def test_long_words(monkeypatch):
+    known = lattice.Pieces(PIECES)
+    logp, words = known.start(), [b"abcab" * 30, b"x" * 90, b"a"]
+    results = []
+    for wide in (4, 10**6):
+        monkeypatch.setattr(lattice, "WIDE", wide)
+        expected = np.zeros(known.count + 1)
+        results.append((lattice.lattice(words, known, logp, np.array([1.0, 2, 3]), expected), expected))
+    assert np.allclose(results[0][0], results[1][0]) and np.allclose(results[0][1], results[1][1])
+    assert math.isfinite(lattice.lattice([b"q" * 200_000], known, logp)[0])
+
+
 def test_training_raises_likelihood(spark, odd):
     words = spark.createDataFrame([(bytearray(b"abc"), 50), (bytearray(b"cab"), 3)], "word binary, train long")
     known = lattice.Pieces(PIECES)

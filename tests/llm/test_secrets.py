@@ -47,3 +47,16 @@ def test_odd(spark, odd, empty):
     by = {r.doc_id: r for r in out.collect()}
     assert secrets.MARK in by[8].text and by[8].n_chars == len(by[8].text) and by[9].text == next(r.text for r in odd.collect() if r.doc_id == 9)
     assert secrets.redact(spark, empty).count() == 0 and secrets.find(empty, []).count() == 0
+
+
+def test_taken():
+    import random
+
+    r = random.Random(1)
+    for _ in range(200):
+        spans = [(s := r.randrange(60), s + r.randint(1, 6)) for _ in range(6)]
+        taken, held = secrets.Taken(spans[:3]), spans[:3]
+        for s, e in spans[3:]:
+            free = all(e <= a or s >= b for a, b in held)
+            assert taken.free(s, e) == free
+            held += [(s, e)] * free
