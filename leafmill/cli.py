@@ -7,6 +7,7 @@ import os
 import shutil
 import sys
 import tempfile
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,13 +94,18 @@ def parser() -> argparse.ArgumentParser:
 def read(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The records that a command works on: readable, matching, limited."""
     mode = "PERMISSIVE" if args.command == "invalid" else "DROPMALFORMED" if args.skip_invalid else "FAILFAST"
+    early = "PERMISSIVE" if args.progress else mode  # records are counted before unreadable ones go
     if args.path == ["-"]:
-        records = ops.valid(scan.from_bytes(spark, sys.stdin.buffer.read()), mode)
+        records = ops.valid(scan.from_bytes(spark, sys.stdin.buffer.read()), early)
     else:
         missing = [p for p in args.path if "://" not in p and not os.path.exists(os.path.expanduser(p)) and not any(c in p for c in "*?[")]
         if missing:
             raise FileNotFoundError(missing[0])
-        records = scan.read_files(spark, args.path, mode)
+        records = scan.read_files(spark, args.path, early)
+    if args.progress:
+        # a pass of its own: results are streamed to the terminal, which Spark's observed metrics do not see
+        args.seen = records.agg(F.count("*").alias("records"), F.count_if(~F.coalesce("valid", F.lit(True))).alias("invalid"))
+        records = ops.valid(records, mode)
     if args.command in ("invalid", "filter"):
         return records
     return ops.where(records, args.where, args.limit, args.strsim_threshold / 100, args.filter_normalization)
@@ -235,7 +241,11 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if more:  # paths that follow options
         args.path = [*([] if args.path == ["-"] else args.path), *more]
     try:
+        began = time.monotonic()
         run(args, spark or session())
+        if args.progress:
+            seen, seconds = args.seen.first(), time.monotonic() - began
+            print(f"records: {seen['records']}, invalid: {seen['invalid']}, {seen['records'] / max(seconds, 1e-9):.0f} records/s, {seconds:.0f} s", file=sys.stderr)
     except BrokenPipeError:
         return 0
     except (ParseError, InvalidRecordError, FileNotFoundError, ValueError) as error:

@@ -35,3 +35,31 @@ def leading_control(fields: Column) -> Column:
     """The control fields before the first data field."""
     first = F.array_position(F.transform(fields, lambda f: f["subfields"].isNotNull()), F.lit(True))
     return F.when(first == 0, fields).otherwise(F.slice(fields, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0))))
+
+
+BIBLIOGRAPHIC = "acdefgijkmoprt"
+
+
+def is_bibliographic(leader: Column) -> Column:
+    return leader["type"].isin(*BIBLIOGRAPHIC)
+
+
+def is_community_information(leader: Column) -> Column:
+    return leader["type"] == "q"
+
+
+def bibliographic_level(leader: Column) -> Column:
+    return F.when(is_bibliographic(leader) & (leader["idef1"] != " "), leader["idef1"])
+
+
+def kind_of_data(leader: Column) -> Column:
+    return F.when(is_community_information(leader) & (leader["idef1"] != " "), leader["idef1"])
+
+
+def type_of_control(leader: Column) -> Column:
+    return F.when(is_bibliographic(leader) & (leader["idef2"] != " "), leader["idef2"])
+
+
+def is_utf8(fields: Column) -> Column:
+    """Whether every value of a record is valid UTF-8."""
+    return F.forall(fields, lambda f: F.when(f["subfields"].isNull(), F.is_valid_utf8(f["value"])).otherwise(F.forall(f["subfields"], lambda s: F.is_valid_utf8(s["value"]))))

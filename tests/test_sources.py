@@ -112,6 +112,8 @@ def test_cli(spark, files, capsys, monkeypatch):
     assert run(spark, "skosify", a, "-c", files / "s.toml", "-o", f"{out}.nt") == 0 and len((files / "res.nt").read_text().splitlines()) == 5
     assert run(spark, "count", files / "none.mrc") == 1 and run(spark, "count", files / "b.mrc") == 1 and run(spark, "count", "-s", files / "b.mrc") == 0
     assert run(spark, "filter", "nonsense", a) == 1
+    capsys.readouterr()
+    assert run(spark, "count", "-p", "-s", a, files / "b.mrc") == 0 and "records: 3, invalid: 1" in capsys.readouterr().err
     monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO(GOOD)))
     capsys.readouterr()
     assert run(spark, "count") == 0 and capsys.readouterr().out == "1\n"
@@ -129,3 +131,28 @@ def test_stream(spark, files, tmp_path):
     assert len(result(stream_select(records, "001, 065.a", "065?"), "s1")) == 7
     assert result(stream_frequency(records, "065.2", "code"), "s2", "complete") == [("sswd", 7)]
     assert len(result(stream_dedup(records).select("ord"), "s3")) == 2
+
+
+def test_objects(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.errors import InvalidRecordError
+    from leafmill.sources import model
+    from leafmill.sources.objects import Entry, Leader, Record, Subfield, directory
+
+    record = Record.from_bytes(GOOD)
+    assert record.control_number == b"119232022" and record.is_utf8() and str(record.leader).encode() == GOOD[:24]
+    assert [f.tag for f in record.fields] == [line[:3] for line in ADA.split("\n")] and record.fields[9].subfields[0] == Subfield("b", b"p")
+    assert not Record.from_bytes(OTHER.replace("é".encode(), b"\xff\xfe")).is_utf8()
+    for err in BROKEN:
+        for raw in BROKEN[err]:
+            with pytest.raises(InvalidRecordError):
+                Record.from_bytes(raw)
+    for make, raw in ((Leader.from_bytes, b"x"), (Entry.from_bytes, b"001000000000"), (directory, b"\x1e"), (Subfield.from_bytes, b"\x1f?a")):
+        with pytest.raises(InvalidRecordError):
+            make(raw)
+    leader = Leader.from_bytes(b"00100nam a2200049   4500")
+    assert leader.is_bibliographic and leader.bibliographic_level == "m" and leader.type_of_control is None and leader.kind_of_data is None
+    row = scan.from_bytes(spark, OTHER.replace(b"nz  a", b"nqb a") + OTHER.replace("é".encode(), b"\xff\xfe")).orderBy("ord")
+    one, two = row.select(model.is_bibliographic(F.col("leader")), model.kind_of_data(F.col("leader")), model.bibliographic_level(F.col("leader")), model.type_of_control(F.col("leader")), model.is_community_information(F.col("leader")), model.is_utf8(F.col("fields"))).collect()
+    assert tuple(one) == (False, "b", None, None, True, True) and two[5] is False
