@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import normalized
 from leafmill.operators.project import Matcher, Path
 
+# Vocabularies and kinds of labels.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 SKOS = "http://www.w3.org/2004/02/skos/core#"
 LABELS = {"preferred": "prefLabel", "alternative": "altLabel", "hidden": "hiddenLabel"}

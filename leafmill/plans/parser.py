@@ -18,6 +18,7 @@ from leafmill.plans.ast import (
 )
 
 T = TypeVar("T")
+# Fixed values of the languages: white space, names of leader parts, operators and escapes.
 SPACE = " \t\r\n"
 NUMBERS = ("length", "base_addr")
 LETTERS = ("status", "type", "encoding")

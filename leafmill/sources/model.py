@@ -37,6 +37,7 @@ def leading_control(fields: Column) -> Column:
     return F.when(first == 0, fields).otherwise(F.slice(fields, F.lit(1), F.greatest(first.cast("int") - 1, F.lit(0))))
 
 
+# Fixed values of the format: record types of bibliographic records.
 BIBLIOGRAPHIC = "acdefgijkmoprt"
 
 
