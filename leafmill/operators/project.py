@@ -64,14 +64,8 @@ class Query:
         for node in self.constituents:
             own = compiler.rows_column(node, threshold)
             out = own if out is None else compiler.crossed(out, own)
-        kept = self._filled()
-        if kept:
-            return out
         return F.filter(out, lambda r: F.exists(r, lambda v: v != ""))
 
-    def _filled(self) -> bool:
-        return any(compiler.filled_column(n, i) for n in self.constituents for i in range(compiler.width(n)))
-
     def select(self, records: DataFrame, header: str | list[str] | None = None, threshold: float = compiler.THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
         """One row for each combination of values, lhs first; rows of empty cells only are left out.
 
@@ -79,16 +73,13 @@ class Query:
         names = self.names(header)
         out, cells = records.select(*keep, "leader", "fields"), []
         for k, node in enumerate(self.constituents):
-            made = f"_rows_{k}"
             if isinstance(node, ast.Literal):
                 cells.append(F.lit(node.value))
                 continue
-            out = out.withColumn(made, F.explode(compiler.rows_column(node, threshold)))
-            cells += [F.col(made)[i] for i in range(compiler.width(node))]
-        if not self._filled() and cells:
-            out = out.where(compiler.any_of(c != "" for c in cells))
-        elif not cells:
-            out = out.where(F.lit(False))
+            made = f"_rows_{k}"
+            out = out.withColumn(made, F.explode_outer(compiler.found_rows(node, threshold)))
+            cells += [F.coalesce(F.col(made)[i], F.lit("")) for i in range(compiler.width(node))]
+        out = out.where(compiler.any_of(c != "" for c in cells) if cells else F.lit(False))
         return out.select(*keep, *(c.alias(n) for c, n in zip(cells, names)))
 
 
@@ -123,8 +114,7 @@ class Path:
         """The path's non-empty values in a record, in order."""
         if not self.width:
             return F.array().cast("array<string>")
-        found = F.transform(compiler.rows_column(self.query.constituents[0], threshold), lambda r: r[0])
-        return found if self.query._filled() else F.filter(found, lambda v: v != "")
+        return F.filter(F.transform(compiler.found_rows(self.query.constituents[0], threshold), lambda r: r[0]), lambda v: v != "")
 
     def first(self) -> Column:
         return F.try_element_at(self.values(), F.lit(1))

@@ -172,7 +172,7 @@ def _field_rows(columns: tuple[str | Literal, ...], field: Column) -> Column:
             rows = F.transform(cells, lambda v: F.array(v))
         else:
             rows = crossed(rows, F.transform(cells, lambda v: F.array(v)))
-    return F.array(F.array().cast("array<string>")) if rows is None else rows
+    return F.array().cast("array<array<string>>") if rows is None else rows
 
 
 def data_fields(node: DataColumns, threshold: float = THRESHOLD, fields: str = "fields") -> Column:
@@ -185,27 +185,25 @@ def data_fields(node: DataColumns, threshold: float = THRESHOLD, fields: str = "
     return F.filter(F.col(fields), asked)
 
 
-def rows_column(node: Constituent, threshold: float = THRESHOLD, leader: str = "leader", fields: str = "fields") -> Column:
-    """The rows that one constituent makes of a record, as array<array<string>>; never empty."""
+def found_rows(node: Constituent, threshold: float = THRESHOLD, leader: str = "leader", fields: str = "fields") -> Column:
+    """The rows that one constituent finds in a record, as array<array<string>>; perhaps none."""
     match node:
         case Literal(value):
             return F.array(F.array(F.lit(value)))
         case LeaderColumn(name):
             return F.array(F.array(F.coalesce(F.col(leader)[name].cast("string"), F.lit(""))))
         case ControlColumn(tag, range_):
-            found = F.transform(F.filter(leading_control(F.col(fields)), lambda f: has_tag(tag, f)), lambda f: F.array(_sliced(f["value"], range_)))
-            empty = F.array(F.array(F.lit("")))
+            return F.transform(F.filter(leading_control(F.col(fields)), lambda f: has_tag(tag, f)), lambda f: F.array(_sliced(f["value"], range_)))
         case DataColumns(columns=columns):
-            found = F.flatten(F.transform(data_fields(node, threshold, fields), lambda f: _field_rows(columns, f)))
-            empty = F.array(F.array(*[F.lit("")] * width(node)).cast("array<string>"))
-    return F.when(F.size(found) == 0, empty).otherwise(found)
+            return F.flatten(F.transform(data_fields(node, threshold, fields), lambda f: _field_rows(columns, f)))
+    raise TypeError(node)
 
 
-def filled_column(node: Constituent, index: int) -> bool:
-    """Whether a cell is a literal, which keeps its row even if the literal is empty."""
-    if isinstance(node, DataColumns):
-        return isinstance([c for c in node.columns if c != ""][index], Literal)
-    return isinstance(node, Literal)
+def rows_column(node: Constituent, threshold: float = THRESHOLD, leader: str = "leader", fields: str = "fields") -> Column:
+    """The same with one row of empty cells where nothing is found."""
+    found = found_rows(node, threshold, leader, fields)
+    empty = F.array(F.array(*[F.lit("")] * width(node)).cast("array<string>"))
+    return found if isinstance(node, Literal | LeaderColumn) else F.when(F.size(found) == 0, empty).otherwise(found)
 
 
 def mentioned(node) -> set[str]:

@@ -36,6 +36,10 @@ QUERIES = [
     ("999.x, 001", [("", "119232022")]),
     ("999.x", []),
     ("'only'", [("only",)]),
+    ("'', 009", []),
+    ("101/1#{ a, 'foo' }", []),
+    ("101/1#{ a, 'foo' }, 001", [("", "", "119232022")]),
+    ("065{ _ }, 001", [("119232022",)]),
     ("00[135][:2]", [("11",), ("20",), ("DE",)]),
     ("375.z, 375.a", [("", "2")]),
     ("400/*{ a | ALL 4 == 'nafr' && 4? }", [("Byron, Ada Augusta",), ("Byron, Augusta Ada",)]),
