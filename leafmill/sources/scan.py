@@ -123,8 +123,10 @@ def _framed(spark: SparkSession, paths: list[str], places: dict[str, int], count
     rows = spark.read.option("lineSep", RECORD_END).text(paths).select(F.col("value").cast("binary").alias("content"), F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("source"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
     known = F.create_map(*(F.lit(x) for pair in places.items() for x in pair))
     at = F.coalesce(F.try_element_at(known, F.col("source")), F.lit(count))  # files below a directory come last
-    # within a file: block start first, then the place in the block; both fit into the lower bits
-    ord_ = at.cast("long") * F.lit(1 << 52) + F.shiftleft(F.floor(F.col("_start") / F.lit(1 << 20)), 33) + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    # the file, then where the split begins, then the place in the split: 19, 18 and 26 bits
+    conf = spark._jsparkSession.sessionState().conf()
+    step = max(1, min(conf.filesOpenCostInBytes(), conf.filesMaxPartitionBytes()))  # no split is smaller
+    ord_ = F.shiftleft(at.cast("long"), 44) + F.shiftleft(F.floor(F.col("_start") / F.lit(step)), 26) + F.col("_id").bitwiseAND(F.lit((1 << 26) - 1))
     open_files = [_uri(p) for p in paths if _unterminated(p)]
     rows = rows.withColumn("ord", ord_)
     if not open_files:
