@@ -23,8 +23,9 @@ def encoded(records: DataFrame, strict: bool = True) -> DataFrame:
         return F.concat(text, F.lit("\x1e"))
 
     rows = records.withColumn("_b", F.transform("fields", body)).withColumn("_s", F.transform("_b", lambda b: F.length(b)))
-    start = F.transform("_s", lambda s, i: F.aggregate(F.slice(F.col("_s"), F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    rows = rows.withColumn("_at", start)
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    starts = F.aggregate("_s", none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+    rows = rows.withColumn("_at", starts["all"])
 
     def number(value: Column, width: int) -> Column:
         return F.lpad(value.cast("string"), width, "0")
