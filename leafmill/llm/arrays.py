@@ -2,13 +2,14 @@
 
 A string column of Arrow is one run of UTF-8 bytes with offsets.  ``chunks`` cuts a batch at document
 bounds into pieces of a bounded number of bytes (one longer document is a piece of its own), and the
-rest of this module works on such a piece: word bounds, and 64-bit hashes of arbitrary slices by
-prefix sums, so that a million words cost a handful of array operations.
+rest of this module works on such a piece: word bounds, 64-bit hashes of arbitrary slices, eight bytes
+a step, and distinct slices, so that a million words cost a handful of array operations.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +36,6 @@ def lean(run):
     return wrapped
 
 
-def _splitmix(n: int, seed: int) -> np.ndarray:
-    x = np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)
-    return mixed(x)
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -47,27 +43,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = _splitmix(256, 7)
+BASE = U64(0xD1342543DE82EF95)
+_EMPTY = U64(0xA0761D6478BD642F)
+#: Bytes of a slice that array steps hash, eight at a time; longer slices are hashed one by one.
+SHORT = 32
+KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** n modulo 2 ** 64; kept for pieces of the usual size only."""
-    found = _powers.get(base)
-    if found is None or len(found) <= n:
-        size = max(n, CHUNK) + 1
-        found = np.full(size, base, U64)
-        found[0] = 1
-        np.multiply.accumulate(found, out=found)
-        if size <= 2 * CHUNK:
-            _powers[base] = found
-    return found[: n + 1]
 
 
 @dataclass
@@ -117,12 +101,33 @@ def words(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(piece.offsets[1:], starts, side="right")
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number; beyond the end stand zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they stand."""
-    n = len(data)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum((_BYTE[_LOWER] if lower else _BYTE)[data] * powers(_BASE, n)[:n], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(_INVERSE, n)[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they stand.
+
+    Each step joins the next eight bytes by a bijection of what was there before, so slices of one size that differ in one
+    step only never meet; others meet by chance alone.  Slices beyond ``SHORT`` bytes go through BLAKE2."""
+    data = _LOWER[data] if lower else data
+    wide, sizes = eights(data), ends - starts
+    out = mixed(sizes.astype(U64) + _EMPTY)
+    at = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+    for done in range(0, SHORT, 8):
+        at = at[sizes[at] > done]
+        if not len(at):
+            break
+        out[at] = mixed((out[at] ^ wide[starts[at] + done] & KEEP[np.minimum(sizes[at] - done, 8)]) * BASE)
+    long = np.flatnonzero(sizes > SHORT)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        found = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist())])
+        out[long] = np.frombuffer(found, "<u8")
+    return out
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -132,7 +137,7 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, U64)
     out = np.full(n, k, U64)
     for i in range(k):
-        out = mixed(out * U64(_BASE) + hashes[i : i + n])
+        out = mixed(out * BASE + hashes[i : i + n])
     return out
 
 
@@ -152,7 +157,7 @@ def shingles(piece: Piece, k: int) -> tuple[np.ndarray, np.ndarray]:
         at = begin[short[mine]]
         out = np.full(len(at), size, U64)
         for i in range(size):
-            out = mixed(out * U64(_BASE) + hashes[at + i])
+            out = mixed(out * BASE + hashes[at + i])
         rest[mine] = out
     return np.concatenate([full[whole], rest]), np.concatenate([doc[: len(full)][whole], short])
 
@@ -176,32 +181,37 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts.astype(np.int64) - (ends - lengths), lengths) + np.arange(total)
 
 
-_SECOND = 0xA0761D6478BD642F | 1
-_SECOND_INVERSE = pow(_SECOND, -1, 1 << 64)
-
-
 def unique_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For slices of bytes: one position of each distinct slice, and each slice's number among those.
 
-    Slices of up to 7 bytes are compared as they are, packed into one number with their length; longer ones by
-    two independent 64-bit hashes, of which the second settles what the first may have mixed up."""
-    n, sizes = len(data), ends - starts
-    padded = np.zeros(n + 8, np.uint8)
-    padded[:n] = data
-    key = np.zeros(len(starts), U64)
-    for i in range(7):
-        np.bitwise_or(key, np.where(i < sizes, padded[starts + i], 0).astype(U64) << U64(8 * i), out=key)
-    key |= np.minimum(sizes, 8).astype(U64) << U64(56)
+    Exact: slices of up to 7 bytes are compared as they are, packed into one number with their size; longer ones are brought
+    together by hash and then compared byte by byte."""
+    sizes, wide = ends - starts, eights(data)
+    key = wide[starts] & KEEP[np.minimum(sizes, 7)] | np.minimum(sizes, 7).astype(U64) << U64(56)
     long = np.flatnonzero(sizes > 7)
     if len(long):
         key[long] = slice_hashes(data, starts[long], ends[long]) | U64(1 << 63)
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    if len(long):
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[data] * powers(_SECOND, n)[:n], out=sums[1:])
-        again = (sums[ends[long]] - sums[starts[long]]) * powers(_SECOND_INVERSE, n)[starts[long]]
-        other = np.zeros(len(starts), U64)
-        other[long] = again
-        if (other != other[first[inverse]]).any():
-            _, first, inverse = np.unique(np.stack([key, other]), axis=1, return_index=True, return_inverse=True)
-    return first, inverse.reshape(-1)
+    inverse = inverse.reshape(-1)
+    if len(long) and not _equal(data, wide, starts, sizes, long, first[inverse[long]]):
+        raw, numbers = data.tobytes(), {}
+        inverse = np.array([numbers.setdefault(raw[a:b], len(numbers)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+        first = np.unique(inverse, return_index=True)[1]
+    return first, inverse
+
+
+def _equal(data: np.ndarray, wide: np.ndarray, starts: np.ndarray, sizes: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> bool:
+    """Whether each slice of ``mine`` has the bytes of the slice of ``theirs`` beside it."""
+    other = mine != theirs
+    mine, theirs = mine[other], theirs[other]
+    if (sizes[mine] != sizes[theirs]).any():
+        return False
+    at = np.flatnonzero(sizes[mine] <= SHORT)
+    for done in range(0, SHORT, 8):
+        at = at[sizes[mine[at]] > done]
+        keep = KEEP[np.minimum(sizes[mine[at]] - done, 8)]
+        if ((wide[starts[mine[at]] + done] ^ wide[starts[theirs[at]] + done]) & keep).any():
+            return False
+    far = np.flatnonzero(sizes[mine] > SHORT)
+    raw = memoryview(np.ascontiguousarray(data))
+    return all(raw[a : a + n] == raw[b : b + n] for a, b, n in zip(starts[mine[far]].tolist(), starts[theirs[far]].tolist(), sizes[mine[far]].tolist()))

@@ -3,17 +3,25 @@
 Rules kept here once so that each operator need not restate them:
 
 * tables are read by Spark only, so any store that Spark can read works;
-* intermediate results go to the folder named by ``spark.checkpoint.dir``,
-  which all executors and the driver share, never to a local temporary folder;
+* intermediate results go to the folder named by ``spark.checkpoint.dir``, which all executors and the driver share; only
+  in local mode, where they share a disk, may it be unset;
+* what has been written there goes when nothing reads it any more (``discard``, ``scratch``), at the latest when the
+  application ends;
 * a null text is an empty text.
 """
 
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,13 +40,34 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's process."""
+    return re.match(r"local($|\[)", spark.sparkContext.master) is not None
+
+
+_shipped: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it, and bound what they get at once."""
+    """Let the Python workers import this package, and bound what they get at once.
+
+    In local mode they read the driver's files; on a cluster Spark hands them an archive of the package."""
     bound_batches(spark)
-    env = spark.sparkContext.environment
-    path = env.get("PYTHONPATH", "")
-    if _ROOT not in path.split(":"):
-        env["PYTHONPATH"] = f"{path}:{_ROOT}".strip(":")
+    context = spark.sparkContext
+    if is_local(spark):
+        env = context.environment
+        path = env.get("PYTHONPATH", "")
+        if _ROOT not in path.split(":"):
+            env["PYTHONPATH"] = f"{path}:{_ROOT}".strip(":")
+    elif context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="leafmill-")  # only until Spark has copied the archive
+        archive = os.path.join(folder, "leafmill.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(Path(_ROOT, "leafmill").rglob("*.py")):
+                out.write(path, path.relative_to(_ROOT))
+        context.addPyFile(archive)
+        atexit.register(shutil.rmtree, folder, True)
+        _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,15 +76,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a private one only where that is unset and all tasks share the driver's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
         found = tempfile.mkdtemp(prefix="leafmill-")
         atexit.register(shutil.rmtree, found, True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and its file system, as the JVM sees them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def until_end(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the application ends."""
+    place, files = _store(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+_open: ContextVar[list[str] | None] = ContextVar("tables of the innermost scratch", default=None)
+_stay: set[str] = set()
+
+
 def saved(spark: SparkSession, df: DataFrame, tag: str, rows: int | None = None, per_file: int = 200_000) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
 
@@ -65,7 +113,46 @@ def saved(spark: SparkSession, df: DataFrame, tag: str, rows: int | None = None,
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    until_end(spark, path)
+    if (within := _open.get()) is not None:
+        within.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the files of tables that ``saved`` has returned and nothing will read again."""
+    _delete(spark, [t.saved_path for t in tables])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place, files = _store(spark, path)
+        files.delete(place, True)
+        files.cancelDeleteOnExit(place)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved within goes at its end, but for the tables that have been given to ``kept``."""
+    outer, mine = _open.get(), []
+    token = _open.set(mine)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+    stay = [p for p in mine if p in _stay]
+    _delete(spark, [p for p in mine if p not in _stay])
+    _stay.difference_update(stay)
+    if outer is not None:
+        outer += stay
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """``table``, which the innermost ``scratch`` leaves alone."""
+    _stay.add(table.saved_path)
+    return table
 
 
 def ascii_lower(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import saved
+from leafmill.llm.common import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,4 +40,5 @@ def components(spark: SparkSession, links: DataFrame, rows: int | None = None) -
         if tuple(now) == shape or not now[0]:
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
         shape = tuple(now)
-        edges = saved(spark, _star(_star(edges, True), False), "links", 4 * now[0])
+        before, edges = edges, saved(spark, _star(_star(edges, True), False), "links", 4 * now[0])
+        discard(spark, before)

@@ -5,15 +5,16 @@
    a bin its value.  Empty bins borrow from a full bin that a random sequence of their own picks (optimal
    densification), so small sets keep the collision probability of MinHash.  A digest of the set stands for
    exact copies.
-2. Exact copies become one class before anything else is compared; a group of thousands costs one row.
-3. Bands of the class representatives are counted per bucket.  Each bucket links its members to two centres, its
-   most popular member (the one whose buckets are largest) and its smallest id: at most two candidates a member
+2. Exact copies become one class, with a number, before anything else is compared; a group of thousands costs one row.
+3. Bands of the classes are counted per bucket.  Each bucket links its members to two centres, its
+   most popular member (the one whose buckets are largest) and its smallest number: at most two candidates a member
    and bucket, never all pairs.  Candidates are confirmed on the full sets.
 4. What stars can miss, links between two members neither of which is a centre, matters only where members of
    one bucket are still in different components.  Those members go through an exact prefix join: rarest
-   shingles first, only as many as a link must share one of, with bounds on sizes and positions.  So no cap on
+   shingles first, only as many as a link must share one of, with bounds on sizes and positions.  Components meet by
+   shingle before their members do, so members of one component are never compared.  So no cap on
    a bucket is needed and no candidate of a bucket is lost.
-5. Components by alternating stars.
+5. Classes that share an id are linked.  Components by alternating stars; each is named by the smallest id in it.
 
 With 32 bands of 4 bins a pair of similarity 0.8 misses all buckets with a probability of 5e-8.
 
@@ -21,9 +22,9 @@ Scale: sets are never shuffled but for members of candidate pairs.  Aggregates h
 plain equi-joins of two shuffled sides, whose hot keys Spark splits.  Nothing but counts comes to the driver.
 
 Defined results.  Null or empty text, or white space only: n_shingles 0, linked with nothing, kept.  Null id: counted,
-linked with nothing, component null, kept.  Repeated rows and ties: rows of one id share its component; the smallest id
-of a component is kept.  Empty table: no rows.  Very long texts: one document is worked on alone.  Input columns
-besides doc_id and text are not read."""
+linked with nothing, component null, kept.  Repeated rows and ties: rows of one id are one document, so all of them that have words
+share a component, and what is linked to one is linked to all; the smallest id of a component is kept.  Empty table: no
+rows.  Very long texts: one document is worked on alone.  Input columns besides doc_id and text are not read."""
 
 from __future__ import annotations
 
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import U64, chunks, distinct_sorted, lean, mixed, shingles
-from leafmill.llm.common import saved, table
+from leafmill.llm.common import discard, kept, saved, scratch, ship, table
 from leafmill.llm.graphs import components
 
 BINS, BAND = 128, 4
@@ -86,6 +87,11 @@ def band_keys(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _digests(sets: np.ndarray, begin: np.ndarray) -> list[bytes | None]:
+    """A digest of each set; sets are equal where digests are."""
+    return [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """Rows doc_id, n_shingles, set_key (null without shingles), bands."""
 
@@ -94,24 +100,23 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for piece in chunks(batch.column(1)):
                 sets, begin = distinct_sorted(*shingles(piece, k), len(piece))
                 keys, count = band_keys(sets, begin).view(np.int64), np.diff(begin)
-                digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(begin[:-1], begin[1:])]
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(count, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(count, pa.int64()), pa.array(_digests(sets, begin), pa.binary()), bands], ["doc_id", "n_shingles", "set_key", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Rows doc_id, shingles (distinct, as numbers in ascending order)."""
+    """Rows doc_id, set_key, shingles (distinct, as numbers in ascending order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch.column(1)):
                 sets, begin = distinct_sorted(*shingles(piece, k), len(piece))
                 lists = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), lists], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(_digests(sets, begin), pa.binary()), lists], ["doc_id", "set_key", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, set_key binary, shingles array<long>")
 
 
 def _close(a: Column, b: Column) -> Column:
@@ -126,8 +131,8 @@ def _needed(a: Column, b: Column) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(SIMILARITY[1] * common >= SIMILARITY[0] * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
@@ -150,12 +155,14 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return linked.select(*_pairs(F.col("rep"), F.col("centre.rep"))).distinct()
 
 
-def rest_pairs(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate pairs in buckets that hold more than one component, by an exact prefix join over their members."""
+def rest_pairs(spark: SparkSession, members: DataFrame, found: DataFrame, sets: DataFrame, count: int) -> DataFrame:
+    """Candidate pairs in buckets that hold more than one component, by an exact prefix join over their members.
+
+    A shingle that m members of one component and a single outsider share costs m pairs, not m * m: components meet first."""
     placed = members.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left_over = placed.join(split, "key").select("rep", "n", "component").distinct()
-    tokens = left_over.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "n", "component", F.explode("shingles").alias("token"))
+    tokens = left_over.join(sets, "rep").select("rep", "n", "component", F.explode("shingles").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     # a shingle of one document alone comes first in its order and pairs with nothing: only its number counts
     kept = tokens.join(common, "token")
@@ -164,32 +171,62 @@ def rest_pairs(members: DataFrame, found: DataFrame, sets: DataFrame) -> DataFra
     reach = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / F.lit(float(SIMILARITY[1]))) + 1 - alone
     prefix = lists.where(reach > 0).select("rep", "n", "component", alone.alias("alone"), F.posexplode(F.slice("kept", F.lit(1), reach.cast("int"))).alias("at", "entry"))
     prefix = prefix.select("rep", "n", "component", (F.col("alone") + F.col("at")).alias("place"), F.col("entry.token").alias("token"))
-    x, y = prefix.alias("x"), prefix.alias("y")
+    prefix = saved(spark, prefix, "near-prefix", count, 5_000)
+    groups = prefix.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    g, h = groups.alias("g"), groups.alias("h")
+    # components whose sizes come close enough for some of their members
+    apart = (F.col("g.token") == F.col("h.token")) & (F.col("g.component") < F.col("h.component"))
+    reaching = (SIMILARITY[1] * F.col("g.high") >= SIMILARITY[0] * F.col("h.low")) & (SIMILARITY[1] * F.col("h.high") >= SIMILARITY[0] * F.col("g.low"))
+    met = g.join(h, apart & reaching).select(F.col("g.token").alias("token"), F.col("g.component").alias("one"), F.col("h.component").alias("two"))
+
+    def side(name: str, component: str) -> DataFrame:
+        return prefix.select("token", F.col("component").alias(component), F.struct("rep", "n", "place").alias(name))
+
+    both = met.join(side("x", "one"), ["token", "one"]).join(side("y", "two"), ["token", "two"])
     able = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= _needed(F.col("x.n"), F.col("y.n"))
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _close(F.col("x.n"), F.col("y.n")) & able
-    return x.join(y, on).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return both.where(_close(F.col("x.n"), F.col("y.n")) & able).select(*_pairs(F.col("x.rep"), F.col("y.rep"))).distinct()
+
+
+def same_id_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id."""
+    rows = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
+    sign = F.xxhash64("set_key")  # a number, so that its extremes have partial sums without a sort
+    twice = rows.groupBy("doc_id").agg(F.min(sign).alias("least"), F.max(sign).alias("most")).where("least < most").select("doc_id")
+    held = rows.join(twice, "doc_id").join(classes, "set_key").select("doc_id", "rep").distinct()
+    least = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return held.join(least, "doc_id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
     """Each row of ``docs`` as doc_id, n_shingles, component_id, kept."""
+    ship(spark)
     signed = saved(spark, signatures(docs, k), "near-signed")
     count = signed.count()
-    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = saved(spark, classes, "near-classes", count)
-    reps = signed.join(classes, (signed["doc_id"] == classes["rep"]) & (signed["set_key"] == classes["set_key"]), "left_semi")
-    rows = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"))
+    # the numbers are written down, so they stay what they are
+    classes = saved(spark, classes.withColumn("rep", F.monotonically_increasing_id()), "near-classes", count)
+    reps = signed.join(classes, (signed["doc_id"] == classes["first_id"]) & (signed["set_key"] == classes["set_key"]))
+    rows = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
     members = saved(spark, rows.join(shared, "key").select("key", "rep", "n"), "near-members", count * BINS // BAND)
-    asked = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = full_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
+    asked = members.select("rep").distinct().join(classes, "rep").select(F.col("first_id").alias("doc_id"), "set_key", "rep")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(texts, k).join(asked, ["doc_id", "set_key"]).groupBy("rep").agg(F.first("shingles").alias("shingles"))
     sets = saved(spark, sets, "near-sets", count, 5_000)
     links = saved(spark, confirmed(star_pairs(members), sets), "near-links", count, 5_000)
     found = components(spark, links, links.count())
-    more = saved(spark, confirmed(rest_pairs(members, found, sets), sets), "near-rest", count, 5_000)
+    with scratch(spark):
+        more = confirmed(rest_pairs(spark, members, found, sets, count), sets).union(same_id_links(signed, classes))
+        more = kept(saved(spark, more, "near-rest", count, 5_000))
+    discard(spark, members, sets, links)
     if extra := more.count():
         both = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more)
         found = components(spark, both, found.count() + extra)
-    named = classes.join(found, classes["rep"] == found["vertex"], "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    # a component is named by the smallest id of its classes
+    placed = found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct()).withColumnRenamed("vertex", "rep").join(classes, "rep")
+    names = placed.groupBy("component").agg(F.min("first_id").alias("name"))
+    placed = placed.join(names, "component").select("rep", "name")
+    named = classes.join(placed, "rep", "left").select("set_key", F.coalesce("name", "first_id").alias("component_id"))
     out = signed.drop("bands").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -207,6 +244,7 @@ def without_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> Data
     told = saved(spark, near_duplicates(spark, docs, k), "near-told")
     gone = told.groupBy("doc_id").agg(F.max(F.col("kept").cast("int")).alias("stays"), F.count("*").alias("n"))
     gone = saved(spark, gone.where("doc_id is not null and (stays = 0 or n > 1)"), "near-gone", told.count())
+    discard(spark, told)
     dropped = gone.where("stays = 0").select(F.col("doc_id").alias("near_id"))
     out = docs.join(dropped, docs["doc_id"].cast("long") == dropped["near_id"], "left_anti")
     twice = gone.where("stays = 1").select(F.col("doc_id").alias("near_id"))

@@ -24,6 +24,18 @@ def odd_rows() -> list[tuple]:
     return [(i, t, lang, src, None if t is None else len(t), *rest) for i, t, lang, src in texts]
 
 
+@pytest.fixture(scope="session")
+def twins():
+    """Pairs of words whose letters are one rule and its complement: any polynomial modulo 2 ** 64 gives them one value."""
+    word, out = "a", []
+    swap = str.maketrans("ab", "ba")
+    while len(word) < 8192:
+        word += word.translate(swap)
+        if len(word) >= 1024:
+            out += [word, word.translate(swap)]
+    return out
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(odd_rows(), SHAPE).repartition(3).cache()

@@ -71,6 +71,51 @@ def test_rest_is_exact(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute(pairs, 4)
 
 
+def brute_rows(rows, k):
+    """Components by id where ids may repeat: rows of one id that have words are one document."""
+    sets = [(i, shingles(t, k)) for i, t in rows if i is not None]
+    parent = {i: i for i, _ in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, x), (b, y) in combinations(sets, 2):
+        if x and y and 5 * len(x & y) >= 4 * len(x | y):
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+    return sorted((i, root(i) if x else i) for i, x in sets)
+
+
+def test_repeated_ids(spark):
+    x, y, z = prose(301, 50), prose(302, 50), prose(303, 50)
+    first = [(1, x), (1, y), (2, x + " more"), (3, y + " more")]
+    second = [(1, x), (1, y), (0, y)]
+    third = [(7, x), (7, y), (7, z), (7, ""), (5, z + " end"), (9, x), (9, x), (8, None), (None, x), (6, y + " a"), (6, prose(304, 40)), (4, prose(304, 40) + " b")]
+    hot = [(1, prose(1000 + i, 30)) for i in range(40)] + [(100 + i, prose(1000 + i, 30) + " z") for i in range(40)]
+    for rows in (first, second, third, hot):
+        got = near.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == brute_rows(rows, 4)
+        assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
+
+
+def test_long_words(spark, twins):
+    """Words that collide under any polynomial hash modulo a power of two are different words."""
+    rows = [(i, f"{w} a b c") for i, w in enumerate(twins)]
+    got = near.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_outsiders_meet_a_cluster_once(spark):
+    """Members of one component are not compared with each other."""
+    base = prose(801, 100).split()
+    texts = [" ".join([*base[:i], f"new{i}", *base[i + 1 :]]) for i in range(0, 60)] + [" ".join(base[:78] + prose(802, 22).split())]
+    pairs = list(enumerate(texts))
+    got = near.near_duplicates(spark, spark.createDataFrame(pairs, "doc_id long, text string"), 4).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(pairs, 4)
+
+
 def test_odd(spark, odd, empty):
     got = near.near_duplicates(spark, odd, 4).collect()
     assert len(got) == odd.count()
