@@ -1,9 +1,10 @@
 """Subword lattice likelihood: log10 probability of a document, summed over all segmentations.
 
-The pieces are those of an existing subword vocabulary; a word is a blank and its bytes, and every single byte is a piece,
-so each word has at least one segmentation.  Starting from the vocabulary's own order of merit (its scores), piece
-probabilities are re-estimated from the training documents by four rounds of expected counts over all segmentations.  Forward
-recursion in log space then gives the marginal probability of each word; a document is the product over its words and one end.
+The pieces are those of an existing subword vocabulary, whatever their length; a word is a blank and its bytes, and every single
+byte is a piece, so each word has at least one segmentation.  (Pieces with a blank behind their first byte can't stand in a word.)
+The vocabulary's scores weight the segmentations: they are a prior worth ``PRIOR`` occurrences, to which four rounds add the
+expected counts of pieces over all segmentations of the training documents.  Forward recursion in log space then gives the
+marginal probability of each word; a document is the product over its words and one end.
 
 The recursion is done once for every distinct word, not for every word of every text:
 
@@ -14,7 +15,7 @@ The recursion is done once for every distinct word, not for every word of every
 
 Scale: what is shuffled are distinct words of blocks, not words of texts; frequent words cost a row for each block.  Piece
 probabilities (as many as the vocabulary has pieces) are the only thing that every task gets, and the only thing the driver
-collects.  Blocks have a bounded size; words of any length take time in proportion to it.
+collects.  Blocks have a bounded size, and partitions grow in number with them; words of any length take time in proportion to it.
 
 Defined results.  Null or empty text: the end alone.  Null id: hashed as the empty text, not held out.  Rows with equal ids
 are scored one by one.  No training documents: counts are 0 and the vocabulary's own order decides.  Empty table: no rows."""
@@ -32,15 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import U64, chunks, lean, mixed, powers
-from leafmill.llm.common import remainder, saved, table
+from leafmill.llm.arrays import BASE, KEEP, U64, chunks, eights, lean, mixed
+from leafmill.llm.common import remainder, saved, ship, table
 
 FOLDS, HELD = 7, 2
 ROUNDS = 4
 BLOCK = 16 << 20  # bytes of text
-LONGEST = 16  # bytes of a piece
 WIDE = 256  # bytes of a word; longer ones are rare and go one by one
-_BASE, _INVERSE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
+PRIOR = 32_000  # occurrences that the vocabulary's own scores are worth
+LANES = 1 << 14  # most partitions that blocks are dealt to
 _LN10 = math.log(10)
 
 
@@ -54,7 +55,7 @@ def read_pieces(path: str) -> list[bytes]:
         if model.is_unknown(i) or model.is_control(i) or model.is_byte(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if len(piece) <= LONGEST and b" " not in piece[1:]:
+        if b" " not in piece[1:]:
             scored.append((-model.get_score(i), piece))
     known = dict.fromkeys(p for _, p in sorted(scored))
     return [*known, *(bytes([b]) for b in range(256) if bytes([b]) not in known)]
@@ -68,7 +69,12 @@ class Pieces:
     def __init__(self, pieces: list[bytes]) -> None:
         self.count = len(pieces)
         self.index = {p: i for i, p in enumerate(pieces)}
-        keys = np.array([self._key(p) for p in pieces], U64)
+        self.sizes = sorted({len(p) for p in pieces})
+        keys = np.zeros(len(pieces), U64)
+        for size in self.sizes:
+            own = [i for i, p in enumerate(pieces) if len(p) == size]
+            data = np.frombuffer(b"".join(pieces[i] for i in own), np.uint8).reshape(len(own), size)
+            keys[own] = Keys(data).of(0, size)
         slot = (keys >> U64(64 - self.SLOTS)).astype(np.int64)
         order = np.argsort(slot, kind="stable")
         first = np.searchsorted(slot[order], slot[order])
@@ -80,16 +86,9 @@ class Pieces:
             held[slot[own]], number[slot[own]] = keys[own], own
             self.layers.append((held, number))
 
-    @staticmethod
-    def _key(piece: bytes) -> int:
-        total = 0
-        for i, b in enumerate(piece):
-            total += (b + 1) * pow(_BASE, i + 1, 1 << 64)
-        return int(mixed(np.array([total % (1 << 64)], U64) + U64(len(piece)))[0])
-
-    def find(self, sums: np.ndarray, i: int, j: int) -> np.ndarray:
-        """For each word (column of sums), the number of the piece at bytes i:j, or -1."""
-        key = mixed((sums[j] - sums[i]) * powers(_INVERSE, i)[i] + U64(j - i))
+    def find(self, keys: Keys, i: int, j: int) -> np.ndarray:
+        """For each word, the number of the piece at bytes i:j, or -1."""
+        key = keys.of(i, j)
         slot = (key >> U64(64 - self.SLOTS)).astype(np.int64)
         held, number = self.layers[0]
         found = np.where(held[slot] == key, number[slot], -1)
@@ -105,6 +104,31 @@ class Pieces:
         return np.log(weight / weight.sum())
 
 
+class Keys:
+    """64-bit keys of bytes i:j of many words of one size (rows of ``data``), eight bytes a step; slices of up to eight bytes and of
+    one size have equal keys only if they are equal."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        self.rows, self.width = data.shape
+        self.wide = eights(data.ravel())
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def _before(self, i: int, steps: int) -> np.ndarray:
+        """What the first ``steps`` times eight bytes from i on come to."""
+        if not steps:
+            return np.zeros(self.rows, U64)
+        found = self.known.get((i, steps))
+        if found is None:
+            at = i + 8 * (steps - 1)
+            found = self.known[i, steps] = mixed((self._before(i, steps - 1) ^ self.wide[at :: self.width][: self.rows]) * BASE)
+        return found
+
+    def of(self, i: int, j: int) -> np.ndarray:
+        steps = (j - i - 1) // 8
+        at = i + 8 * steps
+        return mixed((self._before(i, steps) ^ self.wide[at :: self.width][: self.rows] & KEEP[j - at]) * BASE + U64(j - i))
+
+
 @lru_cache(maxsize=2)
 def _pieces(pieces: tuple[bytes, ...]) -> Pieces:
     return Pieces(list(pieces))
@@ -127,14 +151,15 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
         step = max(1, (1 << 18) // max(1, width))
         for rows in (group[a : a + step] for a in range(0, len(group), step)):
             data = np.frombuffer(b"".join(b" " + words[r] for r in rows), np.uint8).reshape(len(rows), width)
-            sums = np.zeros((width + 1, len(rows)), U64)
-            np.cumsum((data.T.astype(U64) + U64(1)) * powers(_BASE, width + 1)[1 : width + 1, None], axis=0, out=sums[1:])
+            keys = Keys(data)
             ahead = np.full((width + 1, len(rows)), -np.inf)
             ahead[0] = 0.0
             arcs = []
             for j in range(1, width + 1):
-                for i in range(max(0, j - LONGEST), j):
-                    number = known.find(sums, i, j)
+                for size in known.sizes:
+                    if (i := j - size) < 0:
+                        break
+                    number = known.find(keys, i, j)
                     on = np.flatnonzero(number >= 0)
                     if len(on):
                         score = logp[number[on]]
@@ -157,7 +182,7 @@ def lattice(words: list[bytes], known: Pieces, logp: np.ndarray, weights: np.nda
 
 def _long(word: bytes, known: Pieces, logp: np.ndarray, weight: float, expected: np.ndarray | None) -> float:
     """The same recursions for one long word, in time and memory in proportion to its length."""
-    n, get, score = len(word), known.index.get, logp.tolist()
+    n, get, score, sizes = len(word), known.index.get, logp.tolist(), known.sizes
 
     def summed(terms: list[float]) -> float:
         most = max(terms)
@@ -165,11 +190,11 @@ def _long(word: bytes, known: Pieces, logp: np.ndarray, weight: float, expected:
 
     ahead = [0.0] * (n + 1)
     for j in range(1, n + 1):
-        ahead[j] = summed([ahead[i] + score[k] for i in range(max(0, j - LONGEST), j) if (k := get(word[i:j])) is not None])
+        ahead[j] = summed([ahead[j - m] + score[k] for m in sizes if m <= j and (k := get(word[j - m : j])) is not None])
     if expected is not None:
         back = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            arcs = [(j, k) for j in range(i + 1, min(n, i + LONGEST) + 1) if (k := get(word[i:j])) is not None]
+            arcs = [(i + m, k) for m in sizes if i + m <= n and (k := get(word[i : i + m])) is not None]
             back[i] = summed([score[k] + back[j] for j, k in arcs])
             for j, k in arcs:
                 expected[k] += weight * math.exp(ahead[i] + score[k] + back[j] - ahead[n])
@@ -274,19 +299,22 @@ def expected_counts(words: DataFrame, pieces: tuple[bytes, ...], logp: np.ndarra
 
 
 def likelihood(spark: SparkSession, docs: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> DataFrame:
-    """Rows doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """Rows doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  ``rounds`` 0: the vocabulary's scores alone."""
+    ship(spark)
     laid = saved(spark, blocks(docs), "lm-blocks")
     terms = laid.where("word is not null").select("block", "word", "train", "number")
     words = saved(spark, terms.groupBy("word").agg(F.sum("train").alias("train")), "lm-words")
     fixed = tuple(pieces)
+    lanes = laid.where("word is null").agg(F.count_distinct("block")).first()[0]
+    lanes = max(1, min(LANES, lanes))
     row = words.agg(F.sum("train"), F.sum((F.col("train") > 0).cast("long"))).first()
     ends = laid.where("word is null and not held").count()
     total, distinct = (row[0] or 0) + ends, (row[1] or 0) + int(ends > 0)
-    logp = _pieces(fixed).start()
+    logp = start = _pieces(fixed).start()
     for _ in range(rounds if total else 0):
         got = expected_counts(words, fixed, logp)
         got[-1] = ends
-        got += 0.1
+        got += PRIOR * np.exp(start)
         logp = np.log(got / got.sum())
     scored = word_scores(words, fixed, logp)
     met = terms.join(scored.withColumnRenamed("train", "c"), "word").select(F.col("block").alias("of"), "number", "c", "logp")
@@ -310,6 +338,8 @@ def likelihood(spark: SparkSession, docs: DataFrame, pieces: list[bytes], rounds
         base = summed(np.log10(c[numbers] + 1.0)) + end_base - n * spread
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": summed(c[numbers] > 0).astype(np.int64) + end_known, "train_tokens": np.full(len(lists), total, np.int64), "base_score": base, "score": summed(lp[numbers]) / _LN10 + end_log})
 
+    # about a block for each partition, so that what a task reads does not grow with the corpus
+    own, met = own.repartition(lanes, "at"), met.repartition(lanes, "of")
     return own.groupBy("at").cogroup(met.groupBy("of")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
