@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as classes: insult, threat, target, negation, reported speech, clause end, other.  Four transducers,
-one for what is said (insult or threat), one each for the scope of a negation and of reported speech, and one for a
-target in the clause, are composed into one table.  It turns a clause into patterns such as "insult, not negated, not reported,
-aimed at a target"; each pattern carries the weight of the word that set it off.  A logistic regression over the patterns'
-weights gives the score, so a negated or reported insult counts what it is worth in the labelled rows.
+Words are read as classes: insult, threat, target, negation, reported speech, clause end, other.  A first transducer reads the
+clause backwards and marks the words that a target still follows.  Four more read words and marks forwards: what is said (insult
+or threat), the scope of a negation, the scope of reported speech, and whether the clause has a target, before or ahead.  They are
+composed into one table, whose output at a word is a pattern such as "insult, not negated, not reported, aimed at a target"; each
+pattern carries the weight of the word that set it off.  A logistic regression over the weights of the patterns gives the
+score, so a negated or reported insult counts what it is worth in the labelled rows, and a word counts only by its clause.
 
 Learned from labelled rows: the insult lexicon (words, and stems that begin words) with its weights, and the weights
 of the patterns.  It is fitted on a bounded sample, ``SAMPLE`` labelled rows of smallest hash, none of them held out.  Of near
@@ -12,19 +13,22 @@ copies in the sample one stays (a row must be the smallest of each of eight min-
 a thousand times teaches its words once.  Closed-class words and a few common insults are given.
 
 Scale: the sample of labels is bounded and sent to all tasks; texts are never shuffled for it, and scoring is a map over
-all whole texts with a model of bounded size.
+all whole texts with a model of bounded size.  Of a long text one byte a word is held, so clauses of any length are read whole.
 
 Defined results.  Null or empty texts, and texts without patterns: the score of the intercept.  No labels at
 all: the given lexicon with prior weights.  Null ids: hashed as the empty text, not held out.  Repeated rows: equal scores.
-Labels of null are left out; an id labelled twice counts by its largest label.  Only doc_id and text of the documents are read."""
+Labels of null are left out; an id labelled twice counts by its largest label.
+An id that several documents share: all of them are training rows of its label.  Only doc_id and text of the documents are read."""
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import U64, chunks, distinct_sorted, lean, mixed, shingles
-from leafmill.llm.common import remainder, saved, table
+from leafmill.llm.common import remainder, saved, ship, table
 from leafmill.llm.logistic import fit, sigmoid
 
 SAMPLE = 30_000
@@ -40,7 +44,7 @@ THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
-# Closed-class words and common insults in four languages.
+# Chosen word lists: closed-class words and common insults in four languages.
 TARGETS = "you your yours u they them he she him her these those people du dich dir ihr euch sie ihn tu te toi vous vos ton ta ils elles tú usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never nor n't isn't aren't wasn't don't doesn't didn't nicht kein keine keinen nie niemals ne pas jamais aucun nunca jamás tampoco ni".split()
 REPORTS = "said says saying called calls wrote writes quoted quote claimed reported according sagte sagt nannte schrieb zitierte disait dit écrit appelé selon dijo dice llamó escribió según".split()
@@ -51,42 +55,60 @@ GIVEN = 3.0
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;:\n]")
 ENDS = frozenset(".!?;:\n")
 STEM = (4, 5, 6, 7)
-PART = 1 << 20  # characters that are read at a time
+PART = 1 << 16  # tokens of a long text that are held at a time
+LONG = 1 << 20  # characters of a text from which on its tokens are not held all at once
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """States and outputs by class: step[state][class] -> (state, output)."""
+    """States and outputs by input: step[state][input] -> (state, output)."""
 
     step: tuple[tuple[tuple[int, int], ...], ...]
 
+    @classmethod
+    def of(cls, states: int, inputs: int, rule: Callable[[int, int], tuple[int, int]]) -> Transducer:
+        return cls(tuple(tuple(rule(s, x) for x in range(inputs)) for s in range(states)))
+
     def compose(self, other: Transducer, width: int) -> Transducer:
         """Both at once: the state is a pair, the output self's * width + other's."""
         m = len(other.step)
-        rows = []
-        for a in self.step:
-            for b in other.step:
-                rows.append(tuple((x[0] * m + y[0], x[1] * width + y[1]) for x, y in zip(a, b)))
-        return Transducer(tuple(rows))
+        return Transducer(tuple(tuple((x[0] * m + y[0], x[1] * width + y[1]) for x, y in zip(a, b)) for a in self.step for b in other.step))
+
+    def run(self, inputs: Iterable[int]) -> list[int]:
+        state, out, step = 0, [], self.step
+        for x in inputs:
+            state, said = step[state][x]
+            out.append(said)
+        return out
+
 
+CLASSES = 7
+SCOPE = 3  # words after a negation that it reaches
 
-def _machine(states: int, rule) -> Transducer:
-    return Transducer(tuple(tuple(rule(s, c) for c in range(7)) for s in range(states)))
+
+def ahead() -> Transducer:
+    """Read backwards; output: class * 2 + whether a target of the clause follows."""
+    return Transducer.of(2, CLASSES, lambda s, c: (0 if c == END else 1 if c == TARGET else s, 2 * c + (s and c != END)))
 
 
 def grammar() -> Transducer:
-    """Output = kind * 4 + negated * 2 + reported; kind 0 says nothing, 1 insult, 2 threat."""
-    kind = _machine(1, lambda s, c: (0, 1 if c == INSULT else 2 if c == THREAT else 0))
-    scope = 3  # words after a negation that it reaches
-    negated = _machine(scope + 1, lambda s, c: (0 if c == END else scope if c == NEGATION else max(0, s - 1), int(s > 0)))
-    reported = _machine(2, lambda s, c: (0 if c == END else 1 if c == REPORT else s, s))
-    return kind.compose(negated, 2).compose(reported, 2)
+    """Read forwards, over the output of ``ahead``; output = kind * 8 + negated * 4 + reported * 2 + aimed at a target.  Kind 0 says nothing, 1
+    insult, 2 threat."""
+
+    def machine(states: int, rule: Callable[[int, int, int], tuple[int, int]]) -> Transducer:
+        return Transducer.of(states, 2 * CLASSES, lambda s, x: rule(s, x >> 1, x & 1))
 
+    kind = machine(1, lambda s, c, follows: (0, 1 if c == INSULT else 2 if c == THREAT else 0))
+    negated = machine(SCOPE + 1, lambda s, c, follows: (0 if c == END else SCOPE if c == NEGATION else max(0, s - 1), int(s > 0)))
+    reported = machine(2, lambda s, c, follows: (0 if c == END else 1 if c == REPORT else s, s))
+    target = machine(2, lambda s, c, follows: (0 if c == END else 1 if c == TARGET else s, s | follows))
+    return kind.compose(negated, 2).compose(reported, 2).compose(target, 2)
 
-#: Patterns: (insult, threat) x negated x reported x target in the clause; then the strongest word, and the length.
+
+#: Patterns: (insult, threat) x negated x reported x target in the clause; then the length.
 PATTERNS = 16
-FEATURES = PATTERNS + 2
-PRIOR = np.array([kind * n * r * t for kind in (1.5, 0.5) for n in (1.0, 0.4) for r in (1.0, 0.6) for t in (1.0, 1.3)] + [0.3, 0.0, -3.5])
+FEATURES = PATTERNS + 1
+PRIOR = np.array([kind * n * r * t for kind in (1.5, 0.5) for n in (1.0, 0.4) for r in (1.0, 0.6) for t in (1.0, 1.3)] + [0.0, -3.5])
 
 
 @dataclass
@@ -104,7 +126,7 @@ class Reader:
     """Texts to pattern features, with a bounded cache of word classes."""
 
     def __init__(self, lexicon: Lexicon) -> None:
-        self.lexicon, self.step, self.kept = lexicon, grammar().step, {}
+        self.lexicon, self.backwards, self.forwards, self.kept = lexicon, ahead(), grammar(), {}
         self.closed = dict.fromkeys(THREATS, THREAT) | dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(ENDS, END)
 
     def read(self, word: str) -> tuple[int, float]:
@@ -119,37 +141,36 @@ class Reader:
         return found
 
     def features(self, text: str) -> np.ndarray:
-        out, count, at = np.zeros(FEATURES), 0, 0
-        while at < len(text):  # long texts in parts that end with a clause, so that memory is bounded
-            end = at + PART
-            if end < len(text):
-                cut = max(text.rfind(mark, at, end) for mark in ENDS)
-                end = cut + 1 if cut >= at else end
-            count += self._add(text[at:end], out)
-            at = end
+        out, known, read = np.zeros(FEATURES), self.kept, self.read
+        kinds, weights = bytearray(), array("d")  # the class of every word; the weight of every insult and threat, in order
+        for part in _tokens(text):
+            seen = [known.get(t) or read(t) for t in part]
+            own = bytes([kind for kind, _ in seen])
+            kinds += own
+            if INSULT in own or THREAT in own:
+                weights.extend(w for kind, w in seen if kind in (INSULT, THREAT))
+        at = 0
+        if weights:
+            for clause in kinds.split(bytes([END])):
+                if INSULT in clause or THREAT in clause:
+                    marked = self.backwards.run(reversed(clause))[::-1]
+                    for said in self.forwards.run(marked):
+                        if said >= 8:
+                            out[said - 8] += weights[at]
+                            at += 1
         out[:PATTERNS] = np.log1p(out[:PATTERNS])
-        out[-1] = math.log1p(count) / 10
+        out[-1] = math.log1p(len(kinds)) / 10
         return out
 
-    def _add(self, text: str, out: np.ndarray) -> int:
-        """Adds the weights of the patterns of whole clauses; returns the number of tokens."""
-        tokens = TOKEN.findall(text.lower())
-        seen = [self.read(t) for t in tokens]
-        if not any(kind in (INSULT, THREAT) for kind, _ in seen):
-            return len(tokens)
-        state, held, target = 0, [], 0
-        for kind, weight in [*seen, (END, 0.0)]:
-            state, said = self.step[state][kind]
-            if said >= 4:
-                held.append((said - 4, weight))
-                out[PATTERNS] = max(out[PATTERNS], weight * (kind == INSULT))
-            if kind == TARGET:
-                target = 1
-            elif kind == END:
-                for pattern, w in held:
-                    out[pattern * 2 + target] += w
-                held, target = [], 0
-        return len(tokens)
+
+def _tokens(text: str) -> Iterator[list[str]]:
+    """The tokens of a text in lists; a token is never cut."""
+    if len(text) <= LONG:
+        yield TOKEN.findall(text.lower())
+        return
+    found = (m.group() for m in TOKEN.finditer(text.lower()))
+    while part := list(islice(found, PART)):
+        yield part
 
 
 def labelled(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str, sample: int, folds: int | None, held: int | None) -> DataFrame:
@@ -249,6 +270,7 @@ class Model:
 
 
 def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int | None = FOLDS, held: int | None = HELD) -> Model:
+    ship(spark)
     rows = saved(spark, without_copies(spark, labelled(spark, docs, labels, "toxic", sample, folds, held)), "toxic-train")
     lexicon = learn_lexicon(rows)
 
@@ -258,14 +280,17 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample:
             made = [reader.features(t or "").tolist() for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["label", "x"])
 
-    # the sample's bound holds for these rows too: 18 numbers each
-    got = rows.select("text", "label").mapInArrow(lean(run), "label int, x array<double>").toPandas()
+    # a few numbers for each row of the sample, equal rows as one with their count; in an order that no partitioning changes
+    got = rows.select("text", "label").mapInArrow(lean(run), "label int, x array<double>").groupBy("label", "x").agg(F.count("*").alias("n")).toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), FEATURES)
-    return Model(lexicon, fit(x, got["label"].to_numpy(float), PRIOR))
+    y, n = got["label"].to_numpy(float), got["n"].to_numpy(float)
+    order = np.lexsort((*x.T, y))
+    return Model(lexicon, fit(x[order], y[order], PRIOR, weight=n[order]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """Rows doc_id, score, predicted."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.lexicon)
@@ -287,6 +312,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold."""
+    ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
