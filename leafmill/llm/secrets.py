@@ -3,7 +3,8 @@
 ``find`` marks candidates in whole texts.  Base kinds are assignments, access keys and runs of hexadecimal digits; further
 kinds are tokens of known providers, private keys, credentials in addresses and long mixed strings.  Of every candidate
 only a hash of its value travels.  ``ownership`` counts, for each hash, the distinct repositories and owners that hold it.
-A value that more than ``FEW`` owners share is an example that was copied around; one that stays with an owner looks live.
+A value that more than ``OWNERS`` owners share, or that stands in more than ``REPOSITORIES`` repositories whoever owns them, is an
+example or a template that was copied around; one that stays with an owner looks live.
 ``judged`` brings the verdict back to each document.  All base spans stay; a further span is reported only if it looks live and
 touches no base span.  ``redact`` replaces what looks live in the text.
 
@@ -30,18 +31,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.llm.arrays import lean
-from leafmill.llm.common import saved, table
+from leafmill.llm.common import saved, ship, table
 
 BASE = ("assign", "access", "hex")
 FURTHER = ("provider", "key", "address", "mixed")
 KINDS = (*BASE, *FURTHER)
-FEW = 2
+OWNERS, REPOSITORIES = 2, 6
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 PROVIDER = re.compile(r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|[rs]k_live_[0-9A-Za-z]{16,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]+)", re.ASCII)
-KEY = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}?-----END")
-ADDRESS = re.compile(r"://[^\s/:@]{1,64}:([^\s/:@]{6,128})@")
+KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}?-----END")
+ADDRESS = re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@")
 MIXED = re.compile(r"[A-Za-z0-9+/_-]{24,}")
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
@@ -93,6 +94,7 @@ class Taken:
 
 def find(docs: DataFrame, kept: list[str], owner: str = "source", repository: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """Each row as ``row`` (a struct of the columns ``kept``), _sec_owner, _sec_repo, _sec_spans (start, kind, stop, hash of the value)."""
+    ship(docs.sparkSession)
     owners = F.coalesce(F.concat(F.lit("="), F.col(f"`{owner}`").cast("string")), F.lit(""))
     repo = F.to_json(F.array(*(F.col(f"`{c}`").cast("string") for c in repository)))
     own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
@@ -124,7 +126,7 @@ def judged(spark: SparkSession, found: DataFrame) -> DataFrame:
     """``found``, which must have a unique _sec_row, with _sec_live and _sec_copied: its spans by verdict."""
     spans = found.where(F.size("_sec_spans") > 0).select("_sec_row", F.explode("_sec_spans").alias("span"))
     told = spans.withColumn("value", F.col("span.value")).join(ownership(found), "value")
-    live = F.col("owners") <= FEW
+    live = (F.col("owners") <= OWNERS) & (F.col("repositories") <= REPOSITORIES)
     lists = told.groupBy("_sec_row").agg(F.collect_list(F.when(live, F.col("span"))).alias("live"), F.collect_list(F.when(~live, F.col("span"))).alias("copied"))
     lists = lists.withColumnRenamed("_sec_row", "_sec_at")
     none = F.array().cast(f"array<{SPAN}>")
