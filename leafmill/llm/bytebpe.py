@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import Piece, chunks, gathered, lean, unique_slices
-from leafmill.llm.common import table
+from leafmill.llm.common import ship, table
 from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
 
@@ -121,6 +121,7 @@ def _decoded(known: ByteVocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows doc_id, ids (array of int), ends (byte offset in the text at which each id's bytes end)."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,6 +134,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame
 
 def decode(spark: SparkSession, encoded: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows doc_id, ids, decoded (binary), from what ``encode`` has made."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +148,7 @@ def decode(spark: SparkSession, encoded: DataFrame, vocabulary: bytes) -> DataFr
 def round_trip(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """``decode`` of ``encode`` in one pass: the ids of a piece are decoded before the next piece is read, so
     neither ids nor offsets go through the JVM in between."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import chunks, lean, unique_slices
-from leafmill.llm.common import table
+from leafmill.llm.common import ship, table
 from leafmill.llm.pairs import Cached, Merges
 from leafmill.llm.pretokens import bounds
 
@@ -58,9 +58,12 @@ class WordVocabulary:
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges.add(self._number(left), self._number(right), rank, self._number(left + right))
         self.letters = byte_letters()
-        special = [t["content"] for t in file.get("added_tokens", [])]
+        added = file.get("added_tokens", [])
+        if any(t.get(way) for t in added for way in ("normalized", "lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space, whole words or normal text are not supported")
+        special = [t["content"] for t in added]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.hint = special[0][:2] if special else "\0\0"
+        self.hints = {t[:2] for t in special}  # what a text must hold for the search to be worth it
         self.whole = self.prove_whole()
         self.cached = Cached(self._find)
 
@@ -94,7 +97,7 @@ class WordVocabulary:
         parts, owner = [], []
         for i, text in enumerate(texts):
             pieces = [text]
-            if self.special and self.hint in text:
+            if any(hint in text for hint in self.hints):
                 pieces = self.special.split(text)
                 out[i] += len(pieces) - 1
             parts += map(self._normal, pieces)
@@ -128,6 +131,7 @@ def _vocabulary(raw: bytes) -> WordVocabulary:
 
 def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: bytes) -> DataFrame:
     """Rows doc_id, n_bytes, n_tokens."""
+    ship(spark)
     sent = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
