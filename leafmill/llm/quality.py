@@ -1,6 +1,6 @@
 """Quality: base rules, and a logistic regression over hashed word and character n-grams.
 
-The classifier reads words, word pairs and runs of 3 and 5 bytes, each family hashed into 2 ** 16 weights and averaged over the text, so
+The classifier reads words, word pairs and runs of 3 and 5 characters, each family hashed into 2 ** 16 weights and averaged over the text, so
 long texts do not outweigh short ones.  It is trained on the labelled quality rows, at most ``SAMPLE`` of each label (those
 of smallest hash), of which every fifth is held back for calibration: a slope and an intercept turn its sum into a
 probability under the true shares of the labels among all labelled rows.  Texts are scored in Arrow batches by a few array
@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import SPACE, U64, Piece, chunks, lean, slice_hashes, window_hashes, words
-from leafmill.llm.common import table
+from leafmill.llm.arrays import SPACE, U64, Piece, chunks, lean, mixed, slice_hashes, window_hashes, words
+from leafmill.llm.common import ship, table
 from leafmill.llm.logistic import fit, sigmoid
 
 SAMPLE = 1_500
@@ -99,19 +99,22 @@ def families(piece: Piece) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pairs = window_hashes(hashes, 2)
     inside = doc[: len(pairs)] == doc[1:] if len(pairs) else np.zeros(0, bool)
     yield (pairs[inside] >> shift).astype(np.int32), np.searchsorted(doc[: len(pairs)][inside], np.arange(docs + 1))
-    wide = data.astype(U64)
+    leads = np.flatnonzero((data & 0xC0) != 0x80)
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U64)
+    if len(points) != len(leads):  # not UTF-8: byte by byte
+        leads, points = np.arange(len(data)), data.astype(U64)
+    texts = np.searchsorted(leads, piece.offsets)
     for n in GRAMS:
-        m = max(0, len(data) - n + 1)
+        m = max(0, len(points) - n + 1)
         packed = np.full(m, n, U64)
         for i in range(n):
-            packed = (packed << U64(8)) | wide[i : i + m]
-        bucket = ((packed * _MIX) >> shift).astype(np.int32)
-        good = np.ones(len(data), bool)
+            packed = (packed ^ points[i : i + m]) * _MIX
+        good = np.ones(len(points), bool)
         for k in range(1, n):
-            at = piece.offsets[1:] - k
-            good[at[(at >= piece.offsets[:-1])]] = False
+            at = texts[1:] - k
+            good[at[at >= texts[:-1]]] = False
         good = np.flatnonzero(good[:m])
-        yield bucket[good], np.searchsorted(good, piece.offsets)
+        yield (mixed(packed[good]) >> shift).astype(np.int32), np.searchsorted(good, texts)
 
 
 @dataclass

@@ -31,16 +31,43 @@ def test_grammar():
     assert w @ plain > w @ told > 0 and w @ plain > w @ denied
 
 
-def test_long_texts_in_parts(monkeypatch):
+def naive(text, reader):
+    """Patterns by looking at each clause as a whole."""
+    out = Counter()
+    for clause in re.split(r"[.!?;:\n]", text.lower()):
+        kinds = [reader.read(t) for t in toxicity.TOKEN.findall(clause)]
+        for i, (kind, weight) in enumerate(kinds):
+            if kind in (toxicity.INSULT, toxicity.THREAT):
+                negated = any(k == toxicity.NEGATION for k, _ in kinds[max(0, i - toxicity.SCOPE) : i])
+                reported = any(k == toxicity.REPORT for k, _ in kinds[:i])
+                aimed = any(k == toxicity.TARGET for k, _ in kinds)
+                out[(kind - 1) * 8 + negated * 4 + reported * 2 + aimed] += weight
+    return [out[i] for i in range(toxicity.PATTERNS)]
+
+
+def test_patterns_by_clause(documents):
+    import random
+
+    reader, r = toxicity.Reader(toxicity.Lexicon(stems={"quic": 1.5})), random.Random(8)
+    pool = [*toxicity.INSULTS[:5], *toxicity.THREATS[:4], *toxicity.TARGETS[:6], *toxicity.NEGATIONS[:4], *toxicity.REPORTS[:4], *"abcdefgh", ".", ";", "\n", "quickly"]
+    texts = [" ".join(r.choices(pool, k=r.randint(1, 60))) for _ in range(300)] + [t or "" for t in documents.text[:100]]
+    for text in texts:
+        assert np.allclose(reader.features(text)[: toxicity.PATTERNS], np.log1p(naive(text, reader)))
+
+
+def test_long_texts(monkeypatch):
     text = "you are stupid. not an idiot; she said: scum! " * 40
     whole = read(text)
-    monkeypatch.setattr(toxicity, "PART", 60)
+    monkeypatch.setattr(toxicity, "PART", 7)
+    monkeypatch.setattr(toxicity, "LONG", 60)
     assert np.allclose(read(text), whole)
+    far = "x" * (1 << 20) + " w" * 300 + " not idiot" + " w" * 300 + " you"  # a clause without end is read whole
+    assert set(np.flatnonzero(read(far)[: toxicity.PATTERNS])) == {5}
 
 
 def test_compose_is_the_product():
-    machine, parts = toxicity.grammar(), [4, 2]
-    assert len(machine.step) == math.prod(parts) and all(len(r) == 7 for r in machine.step)
+    machine, parts = toxicity.grammar(), [toxicity.SCOPE + 1, 2, 2]
+    assert len(machine.step) == math.prod(parts) and all(len(r) == 2 * toxicity.CLASSES for r in machine.step)
 
 
 def test_lexicon(spark):
@@ -76,10 +103,10 @@ def test_toxicity_query(rows, spark, documents):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = toxicity.op9_toxicity(spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/labels.parquet").toPandas(), on="doc_id")
     held = got[got.held_out]
-    assert held[held.predicted == 1].toxic.mean() > 0.9 and held[held.toxic == 1].predicted.mean() > 0.55
+    assert held[held.predicted == 1].toxic.mean() > 0.9 and held[held.toxic == 1].predicted.mean() > 0.9
 
 
 def test_toxicity_odd(spark, odd, empty, labels):
@@ -136,6 +163,55 @@ def test_quality_held_out(spark):
     assert abs(got.probability.mean() - got.quality.mean()) < 0.08  # calibrated
 
 
+def test_quality_verdict_by_hand(spark, documents):
+    """Every probability by single words and n-grams, one at a time."""
+    import pyarrow as pa
+
+    from leafmill.llm.arrays import Piece, slice_hashes, window_hashes
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train_model(docs, labels)
+    assert model is not None
+    mask, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def finish(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def average(weights, buckets):
+        return sum(float(weights[b]) for b in buckets) / max(1, len(buckets))
+
+    texts = [*documents.text[:60], "", "é", "ärger über öl", "a b", "漢字 😀 x"]
+    got = {}
+    for piece in chunks(pa.array(texts), 5000):
+        got |= {piece.first + i: p for i, p in enumerate(model.probability(piece))}
+    for i, text in enumerate(texts):
+        text = text or ""
+        words = [np.frombuffer(w.encode(), np.uint8) for w in WORD.findall(text)]
+        hashes = np.array([slice_hashes(w, np.array([0]), np.array([len(w)]))[0] for w in words], np.uint64)
+        z = average(model.weights[0], [int(h) >> 48 for h in hashes])
+        z += average(model.weights[1], [int(window_hashes(hashes[k : k + 2], 2)[0]) >> 48 for k in range(len(hashes) - 1)])
+        for family, n in zip(model.weights[2:], quality.GRAMS):
+            own = []
+            for k in range(len(text) - n + 1):
+                x = n
+                for c in text[k : k + n]:
+                    x = (x ^ ord(c)) * mix & mask
+                own.append(finish(x) >> 48)
+            z += average(family, own)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(model.slope * z + model.intercept))), rel_tol=1e-6, abs_tol=1e-9)
+
+
+def test_quality_long_words(twins):
+    """Lines and words that any polynomial hash would take for each other."""
+    import pyarrow as pa
+
+    text = "\n".join(twins) + " " + " ".join([*twins, *"abcdefg", *twins])
+    counts = quality.base_counts(next(chunks(pa.array([text]))))
+    assert tuple(int(counts[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == base(text)[:5]
+
+
 def test_quality_odd(spark, odd, empty, labels):
     got = quality.judged(odd, quality.train_model(odd, labels)).collect()
     assert len(got) == odd.count() and not next(r for r in got if r.doc_id == 5).kept
@@ -210,6 +286,46 @@ def test_scores(rows, documents):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
 
 
+def test_score_by_hand(spark):
+    """Piece probabilities and scores by recursions over single words."""
+    texts = ["abc ab c", "Ab abcabc bc", "c c ab xyz", "", "bc é ab" + "c" * 40, None, "zz abc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w.lower().encode() for t in train for w in t.split())
+    start = np.exp(lattice.Pieces(PIECES).start())
+    p = dict(zip([*PIECES, None], start))
+    for _ in range(lattice.ROUNDS):
+        got = Counter({None: len(train)})
+        for word, n in counts.items():
+            word = b" " + word
+            ahead, back = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+            arcs = [(i, j) for j in range(len(word) + 1) for i in range(j) if word[i:j] in p]
+            for i, j in arcs:
+                ahead[j] += ahead[i] * p[word[i:j]]
+            for i, j in sorted(arcs, reverse=True):
+                back[i] += p[word[i:j]] * back[j]
+            for i, j in arcs:
+                got[word[i:j]] += n * ahead[i] * p[word[i:j]] * back[j] / ahead[-1]
+        every = [got[k] + lattice.PRIOR * s for k, s in zip([*PIECES, None], start)]
+        p = {k: v / sum(every) for k, v in zip([*PIECES, None], every)}
+    for r in lattice.likelihood(spark, docs, PIECES).collect():
+        words = [w.lower().encode() for w in (texts[r.doc_id] or "").split()]
+        expected = math.log10(p[None]) + sum(math.log10(every_segmentation(b" " + w, p)) for w in words)
+        assert math.isclose(r.score, expected, rel_tol=1e-9)
+
+
+def test_no_piece_is_left_out():
+    import public_tokenizers
+
+    pieces = lattice.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    known = lattice.Pieces(pieces)
+    long = [p for p in pieces if len(p) > 16]
+    assert len(long) >= 20
+    for p in long[:30]:
+        data = np.frombuffer(p + p, np.uint8).reshape(2, -1)
+        assert (known.find(lattice.Keys(data), 0, len(p)) == known.index[p]).all()
+
+
 def test_lattice_odd(spark, odd, empty):
     got = lattice.likelihood(spark, odd, PIECES).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (4, 5, 6)} == {1}
