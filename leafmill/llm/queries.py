@@ -15,7 +15,7 @@ from leafmill.llm.secrets import op2_secrets
 from leafmill.llm.tokencount import op6_tokencount
 from leafmill.llm.toxicity import op9_toxicity
 from leafmill.llm.warc import OP1_SQL, op1_warc
-from leafmill.llm.webp import op3_webp
+from leafmill.llm.webpstore import op3_webp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,

@@ -1,37 +1,24 @@
-"""Lossless WebP columns: a decoder for the whole format, a writer for samples, and both over columns.
+"""Lossless WebP: a decoder for the whole format, image by image and for whole columns.
 
 ``decode`` reads prefix codes (simple and normal), back-references, the colour cache and groups of codes per block, and inverts
-the predictor, cross-colour, subtract-green and palette transforms; the result is an array of ARGB pixels.  It walks one
-image pixel by pixel.  ``decode_many`` takes a whole column: images whose codes allow it (one group, literals only) are decoded side
-by side, one pixel of every image in each step, so that array operations do the work; all others go through ``decode``.
+the predictor, cross-colour, subtract-green and palette transforms; the result is an array of ARGB pixels.  ``decode_many`` takes a
+whole column: images that share their codes are decoded side by side, one pixel of every image in each step, literals, back-references
+and cache alike, so that array operations do the work; the last few long ones, and images with groups of codes, go pixel by
+pixel.  Transforms are inverted by array steps (prediction along slanted fronts of pixels that do not depend on each other).
 
-``write_samples`` stores 8-bit samples as grey pictures 64 pixels wide, green carrying the sample and the subtract-green transform
-making it grey, with a complete prefix code by the rank of common bytes.  Samples beyond ``FRAME`` follow in another file behind the first.
-
-Scale: a map over the rows without a shuffle; memory is bounded by a batch or the largest row.
-
-Defined results of ``samples_stored``.  Null or empty text: 64 bytes of 0.  Equal texts: equal files, digests and features.  Repeated
-rows: equal results.  Empty table: no rows.  Only doc_id and text are read.  Texts of any length are stored whole, in frames of 1 MiB."""
+``webpstore`` writes such files and has the operator over documents."""
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from leafmill.llm.arrays import Piece, chunks, gathered, lean
-from leafmill.llm.common import table
+from leafmill.llm.arrays import eights
 
-WIDTH = 64
-FRAME = WIDTH << 14  # samples of a file: the format allows 16384 rows
-TOGETHER = 8 << 20  # samples that are decoded side by side
+FEW = 6  # images that are no longer worth decoding side by side
+CACHED = 1 << 22  # entries of colour caches that are held side by side
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 
 # Fixed values of the format: in which order the lengths of the code for code lengths are stored, and which
@@ -61,11 +48,14 @@ class Bits:
         byte = self.at >> 3
         return int.from_bytes(self.data[byte : byte + 8], "little") >> (self.at & 7) & (1 << n) - 1
 
-    def read(self, n: int) -> int:
-        found = self.peek(n)
+    def skip(self, n: int) -> None:
         self.at += n
         if self.at > 8 * len(self.data):
             raise ValueError("the image ends within its data")
+
+    def read(self, n: int) -> int:
+        found = self.peek(n)
+        self.skip(n)
         return found
 
 
@@ -172,39 +162,60 @@ def _prefixed(bits: Bits, code: int) -> int:
     return (2 + (code & 1) << extra) + bits.read(extra) + 1
 
 
-def read_pixels(bits: Bits, width: int, height: int, layer: Layer) -> np.ndarray:
-    """ARGB values of width * height pixels, one after the other."""
-    total, out, at = width * height, np.zeros(width * height, np.int64), 0
-    cache, shift, kept = [0] * (1 << layer.cache_bits), 32 - layer.cache_bits, 0
-    group = layer.groups[0]
-    while at < total:
+def read_pixels(bits: Bits, width: int, height: int, layer: Layer, out: list[int] | None = None) -> np.ndarray:
+    """ARGB values of width * height pixels, one after the other; ``out``: those that have been read already."""
+    total, out = width * height, [] if out is None else out
+    mask = (1 << layer.cache_bits) - 1
+    cache, shift, kept = [0] * (mask + 1), 32 - layer.cache_bits, 0
+    tables: dict[int, list[tuple[list[int], int]]] = {}
+    number, data = 0, bits.data
+    while len(out) < total:
         if layer.blocks is not None:
-            y, x = divmod(at, width)
-            group = layer.groups[int(layer.blocks[y >> layer.block_bits, x >> layer.block_bits])]
-        green = group[0].read(bits)
+            y, x = divmod(len(out), width)
+            number = int(layer.blocks[y >> layer.block_bits, x >> layer.block_bits])
+        if number not in tables:
+            tables[number] = [(c.table.tolist(), (1 << c.width) - 1) for c in layer.groups[number]]
+        own, value = tables[number], 0
+        window, used = int.from_bytes(data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7), 0
+        entry = own[0][0][window & own[0][1]]
+        green, used = entry >> 4, entry & 15
         if green < 256:
-            red, blue, alpha = (group[i].read(bits) for i in (1, 2, 3))
-            out[at] = alpha << 24 | red << 16 | green << 8 | blue
-            at += 1
-        elif green < 280:
-            length = _prefixed(bits, green - 256)
-            code = _prefixed(bits, group[4].read(bits))
-            back = code - 120
-            if code <= 120:
-                x, y = NEIGHBOURS[code - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > total:
-                raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + length):
-                out[i] = out[i - back]
-            at += length
-        else:
-            while kept < at:  # the cache is brought up to date when it is asked
-                cache[0x1E35A7BD * int(out[kept]) >> shift & (1 << layer.cache_bits) - 1] = int(out[kept])
+            for k, place in ((1, 16), (2, 0), (3, 24)):
+                entry = own[k][0][window >> used & own[k][1]]
+                used += entry & 15
+                value |= entry >> 4 << place
+            bits.skip(used)
+            out.append(value | green << 8)
+            continue
+        bits.skip(used)
+        if green >= 280:
+            while kept < len(out):  # the cache is brought up to date when it is asked
+                cache[0x1E35A7BD * out[kept] >> shift & mask] = out[kept]
                 kept += 1
-            out[at] = cache[green - 280]
-            at += 1
-    return out
+            out.append(cache[green - 280])
+            continue
+        length = _prefixed(bits, green - 256)
+        back = distance(_prefixed(bits, layer.groups[number][4].read(bits)), width)
+        if back > len(out) or len(out) + length > total:
+            raise ValueError("a back-reference leaves the image")
+        copy(out, length, back)
+    return np.array(out, np.int64)
+
+
+def distance(code: int, width: int) -> int:
+    """How many pixels a distance code goes back."""
+    if code > 120:
+        return code - 120
+    x, y = NEIGHBOURS[code - 1]
+    return max(1, x + y * width)
+
+
+def copy(out: list[int], length: int, back: int) -> None:
+    """Adds the ``length`` pixels from ``back`` pixels before, which may begin to be among them."""
+    while length:
+        part = out[-back:][:length]
+        out += part
+        length -= len(part)
 
 
 @dataclass
@@ -259,39 +270,43 @@ def _packed(channels: np.ndarray) -> np.ndarray:
     return c[..., 0] << 24 | c[..., 1] << 16 | c[..., 2] << 8 | c[..., 3]
 
 
-def predicted(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
-    """The prediction of one pixel from its neighbours: left, top, top right, top left (channels)."""
-    if mode == 11:
-        plane = left + top - corner
-        return left if np.abs(plane - left).sum() < np.abs(plane - top).sum() else top
-    if mode == 12:
-        return np.clip(left + top - corner, 0, 255)
-    if mode == 13:
-        mean = left + top >> 1
-        off = mean - corner
-        return np.clip(mean + (np.abs(off) >> 1) * np.sign(off), 0, 255)
-    return {
-        1: lambda: left, 2: lambda: top, 3: lambda: right, 4: lambda: corner,
-        5: lambda: (left + right >> 1) + top >> 1, 6: lambda: left + corner >> 1, 7: lambda: left + top >> 1,
-        8: lambda: corner + top >> 1, 9: lambda: top + right >> 1, 10: lambda: (left + corner >> 1) + (top + right >> 1) >> 1,
-    }.get(mode, lambda: np.array([255, 0, 0, 0]))()
+def predicted(mode: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """The prediction of pixels (rows of channels) by their modes from their neighbours: left, top, top right, top left."""
+    plane, mean = left + top - corner, left + top >> 1
+    nearer = (np.abs(plane - left).sum(axis=-1) < np.abs(plane - top).sum(axis=-1))[..., None]
+    off = mean - corner
+    # fmt: off
+    ways = (
+        np.broadcast_to([255, 0, 0, 0], left.shape), left, top, right, corner, (left + right >> 1) + top >> 1, left + corner >> 1, mean,
+        corner + top >> 1, top + right >> 1, (left + corner >> 1) + (top + right >> 1) >> 1, np.where(nearer, left, top), np.clip(plane, 0, 255),
+        np.clip(mean + (np.abs(off) >> 1) * np.sign(off), 0, 255),
+    )
+    # fmt: on
+    out = np.zeros(left.shape, np.int64)
+    for m in np.unique(mode):
+        mine = mode == m
+        out[mine] = ways[m if m < len(ways) else 0][mine]
+    return out
 
 
 def _unpredict(pixels: np.ndarray, size: int, modes: np.ndarray) -> np.ndarray:
+    """Pixels of one front, x + 2 y, depend on earlier fronts only, so each front is one step."""
     h, w = pixels.shape
     out = _channels(pixels)
-    black = np.array([255, 0, 0, 0])
-    for y in range(h):
-        row = modes[y >> size] >> 8 & 15
-        for x in range(w):
-            if y == 0:
-                guess = out[0, x - 1] if x else black
-            elif x == 0:
-                guess = out[y - 1, 0]
-            else:
-                right = out[y - 1, x + 1] if x + 1 < w else out[y, 0]
-                guess = predicted(int(row[x >> size]), out[y, x - 1], out[y - 1, x], right, out[y - 1, x - 1])
-            out[y, x] = out[y, x] + guess & 255
+    kinds = modes >> 8 & 15
+    out[0, 0] = out[0, 0] + [255, 0, 0, 0] & 255
+    out[0] = np.cumsum(out[0], axis=0) & 255
+    if h > 1:
+        out[:, 0] = np.cumsum(out[:, 0], axis=0) & 255
+    for front in range(3, w + 2 * h - 2):
+        y = np.arange(max(1, -(-(front - w + 1) // 2)), min(h - 1, (front - 1) // 2) + 1)
+        x = front - 2 * y
+        if not len(y):
+            continue
+        last = x + 1 == w
+        right = out[np.where(last, y, y - 1), np.where(last, 0, x + 1)]
+        guess = predicted(kinds[y >> size, x >> size], out[y, x - 1], out[y - 1, x], right, out[y - 1, x - 1])
+        out[y, x] = out[y, x] + guess & 255
     return _packed(out)
 
 
@@ -378,38 +393,96 @@ class Headers:
 
 
 def _abreast(layer: Layer) -> bool:
-    """Whether images of this layer can be decoded side by side: one group of literals, only green takes bits."""
-    green = layer.groups[0][0]
-    return layer.blocks is None and not layer.cache_bits and all(c.only is not None for c in layer.groups[0][1:4]) and int(green.table.max()) >> 4 < 256
+    """Whether images of this layer can be decoded side by side: one group, whose codes of a pixel fit into one window."""
+    return layer.blocks is None and sum(c.width for c in layer.groups[0][:4]) <= 56
 
 
-def _greens(chunks_: list[bytes], starts: np.ndarray, counts: np.ndarray, code: Code) -> np.ndarray:
-    """Green values of images that share a code, one image after the other.
+def _together(chunks_: list[bytes], starts: np.ndarray, sizes: np.ndarray, widths: np.ndarray, layer: Layer) -> list[np.ndarray]:
+    """Pixels of images that share a layer.
 
     Step t decodes pixel t of all images that have one; images are ordered by size, so those are always the first ones."""
-    order = np.argsort(-counts, kind="stable")
-    sizes = np.fromiter(map(len, chunks_), np.int64, len(chunks_))
-    data = np.frombuffer(b"".join(chunks_) + bytes(8), np.uint8)
-    window = data[:-3].astype(np.uint32)
-    for i in (1, 2, 3):
-        window |= data[i : len(data) - 3 + i].astype(np.uint32) << np.uint32(8 * i)
-    at = (8 * (np.cumsum(sizes) - sizes) + starts)[order]
-    last = (8 * np.cumsum(sizes))[order]
-    to = (np.cumsum(counts) - counts)[order]
-    out = np.zeros(int(counts.sum()), np.uint8)
-    table, mask = code.table.astype(np.int32), np.int64((1 << code.width) - 1)
-    ordered = counts[order]
-    active = len(ordered)
-    for step in range(int(ordered[0]) if active else 0):
-        while ordered[active - 1] <= step:
+    order = np.argsort(-sizes, kind="stable")
+    lengths = np.fromiter(map(len, chunks_), np.int64, len(chunks_))
+    raw = np.frombuffer(b"".join(chunks_) + bytes(16), np.uint8)
+    wide = eights(raw)
+    first = np.cumsum(lengths) - lengths
+    at, last = (8 * first + starts)[order], (8 * (first + lengths))[order]
+    ordered, width = sizes[order], widths[order]
+    to = (np.cumsum(sizes) - sizes)[order]
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    tables = [(c.table.astype(np.int64), np.uint64((1 << c.width) - 1)) for c in layer.groups[0]]
+    bits = layer.cache_bits
+    cache = np.zeros((len(order), 1 << bits), np.uint32) if bits else None
+    every = np.arange(len(order))
+    left, back = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+    copying = False
+
+    def window(rows: np.ndarray, behind: np.ndarray | int = 0) -> np.ndarray:
+        bit = at[rows] + behind
+        return wide[bit >> 3] >> (bit & 7).astype(np.uint64)
+
+    def extra(rows: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Lengths or distances from their prefixes and the bits that follow."""
+        more = np.maximum(code - 2 >> 1, 0)
+        value = (window(rows) & (np.uint64(1) << more.astype(np.uint64)) - np.uint64(1)).astype(np.int64)
+        at[rows] += more
+        return np.where(code < 4, code + 1, (2 + (code & 1) << more) + value + 1)
+
+    active, step = len(order), 0
+    while active:
+        while active and ordered[active - 1] <= step:
             active -= 1
-        now = at[:active]
-        entry = table[window[now >> 3].astype(np.int64) >> (now & 7) & mask]
-        out[to[:active] + step] = entry >> 4
-        now += entry & 15
-    if (at > last).any():
+        if active < FEW:
+            break
+        rows = np.flatnonzero(left[:active] == 0) if copying else every[:active]
+        seen = window(rows)
+        entry = tables[0][0][seen & tables[0][1]]
+        green, used = entry >> 4, entry & 15
+        pixel = (green & 255) << 8
+        taken = used
+        for (table, mask), place in zip(tables[1:4], (16, 0, 24)):
+            entry = table[seen >> taken.astype(np.uint64) & mask]
+            taken = taken + (entry & 15)
+            pixel |= entry >> 4 << place
+        other = np.flatnonzero(green > 255)
+        if len(other):
+            taken[other] = used[other]
+        at[rows] += taken
+        if len(other):
+            hit = other[green[other] >= 280]
+            if len(hit):
+                pixel[hit] = cache[rows[hit], green[hit] - 280]
+            begun = other[green[other] < 280]
+            if len(begun):
+                who = rows[begun]
+                left[who] = extra(who, green[begun] - 256)
+                entry = tables[4][0][window(who) & tables[4][1]]
+                at[who] += entry & 15
+                code = extra(who, entry >> 4)
+                back[who] = [distance(c, w) for c, w in zip(code.tolist(), width[who].tolist())]
+                if (back[who] > step).any() or (left[who] + step > ordered[who]).any():
+                    raise ValueError("a back-reference leaves the image")
+                copying = True
+        out[to[rows] + step] = pixel
+        if copying:
+            rows = np.flatnonzero(left[:active])
+            out[to[rows] + step] = out[to[rows] + step - back[rows]]
+            left[rows] -= 1
+            copying = bool(left[:active].any())
+        if bits:
+            now = out[to[:active] + step]
+            cache[every[:active], now * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)] = now
+        step += 1
+    if (at[active:] > last[active:]).any():
         raise ValueError("an image ends within its data")
-    return out
+    for k in range(active):  # the longest few, one by one
+        i, a = int(order[k]), int(to[k])
+        done = out[a : a + step].tolist()
+        copy(done, int(left[k]), int(back[k]) or 1)
+        rest = Bits(chunks_[i], int(at[k]) - 8 * int(first[i]))
+        out[a : a + int(ordered[k])] = read_pixels(rest, int(width[k]), int(ordered[k]) // int(width[k]), layer, done)
+    ends = np.cumsum(sizes)
+    return [out[end - n : end] for end, n in zip(ends.tolist(), sizes.tolist())]
 
 
 def decode_many(media: list[bytes]) -> list[list[np.ndarray]]:
@@ -426,144 +499,11 @@ def decode_many(media: list[bytes]) -> list[list[np.ndarray]]:
                 pixels = read_pixels(Bits(chunk, image.start), image.inner, image.height, image.layer)
                 out[i][k] = inverted(image, pixels.reshape(image.height, image.inner))
     for group in waiting.values():
-        counts = np.array([g[3].inner * g[3].height for g in group], np.int64)
-        green, red, blue, alpha = group[0][3].layer.groups[0][:4]
-        values = _greens([g[2] for g in group], np.array([g[3].start for g in group], np.int64), counts, green)
-        rest = alpha.only << 24 | red.only << 16 | blue.only
-        for (i, k, _, image), end, n in zip(group, np.cumsum(counts), counts):
-            pixels = (values[end - n : end].astype(np.int64) << 8 | rest).reshape(image.height, image.inner)
-            out[i][k] = inverted(image, pixels)
+        layer = group[0][3].layer
+        most = max(1, CACHED >> layer.cache_bits)
+        for part in (group[a : a + most] for a in range(0, len(group), most)):
+            sizes, widths, starts = (np.array(x, np.int64) for x in zip(*((g[3].inner * g[3].height, g[3].inner, g[3].start) for g in part)))
+            for (i, k, _, image), pixels in zip(part, _together([g[2] for g in part], starts, sizes, widths, layer)):
+                pixels = pixels.reshape(image.height, image.inner)
+                out[i][k] = inverted(image, pixels.astype(np.int64)) if image.transforms else pixels
     return out
-
-
-#: Bytes by how common they are in text; all others follow in ascending order.
-COMMON = b" etaonihsrdlucmgfpwybvk.,\n"
-#: How many symbols have a code of each length, by rank; the code is complete: the shares 2 ** -length add up to 1.
-PROFILE = {3: 2, 4: 6, 5: 6, 6: 4, 10: 18, 11: 220}
-
-
-class Writing:
-    """Bits to be stored, lowest first."""
-
-    def __init__(self) -> None:
-        self.value, self.count = 0, 0
-
-    def put(self, value: int, n: int) -> None:
-        self.value |= value << self.count
-        self.count += n
-
-
-@lru_cache(maxsize=1)
-def sample_code() -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Code and length of each sample, and the bits between the size and the pixels as a number and their count."""
-    ranks = [*COMMON, *(b for b in range(256) if b not in COMMON)]
-    lengths = np.zeros(256, np.int64)
-    lengths[ranks] = np.repeat(list(PROFILE), list(PROFILE.values()))
-    head = Writing()
-    head.put(1, 1), head.put(SUBTRACT_GREEN, 2), head.put(0, 1)  # one transform
-    head.put(0, 1), head.put(0, 1)  # no colour cache, one group of codes
-    head.put(0, 1)  # green: a normal code
-    own = np.zeros(19, np.int64)
-    own[sorted({*PROFILE, 0, 18})] = 3  # eight lengths of three bits
-    head.put(15, 4)
-    for i in LENGTH_ORDER:
-        head.put(int(own[i]), 3)
-    head.put(0, 1)
-    codes = reversed_codes(own)
-    for n in lengths:
-        head.put(int(codes[n]), 3)
-    head.put(int(codes[18]), 3), head.put(24 - 11, 7)  # no code for the 24 lengths of back-references
-    for symbol in (0, 0, 255, 0):  # red, blue, alpha, distance: one symbol each
-        head.put(1, 1), head.put(0, 1), head.put(1, 1), head.put(symbol, 8)
-    return reversed_codes(lengths), lengths, head.value, head.count
-
-
-def write_samples(samples: np.ndarray, begins: np.ndarray) -> list[bytes]:
-    """WebP files of texts of samples, whose sizes are multiples of 64; text i is samples[begins[i]:begins[i + 1]]."""
-    codes, lengths, head, head_bits = sample_code()
-    starts, ends, owner = [], [], []
-    for i, (a, b) in enumerate(zip(begins[:-1].tolist(), begins[1:].tolist())):
-        for at in range(a, b, FRAME):
-            starts.append(at), ends.append(min(b, at + FRAME)), owner.append(i)
-    starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
-    sizes = lengths[samples]
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    size = (40 + head_bits + sums[ends] - sums[starts] + 7) // 8 + 1  # bytes of each chunk
-    where = np.cumsum(size) - size
-    first = 8 * where + 40 + head_bits  # where each image's pixels begin
-    frame = np.repeat(np.arange(len(starts)), ends - starts)
-    at = sums[:-1] + (first - sums[starts])[frame]
-    value = codes[samples].astype(np.uint64) << (at & 31).astype(np.uint64)
-    words = np.zeros(int(size.sum()) // 4 + 3)
-    word = at >> 5
-    words += np.bincount(word, weights=(value & np.uint64(0xFFFFFFFF)).astype(float), minlength=len(words))
-    words += np.bincount(word + 1, weights=(value >> np.uint64(32)).astype(float), minlength=len(words))
-    raw = words.astype(np.uint32).view(np.uint8)
-    out = [[] for _ in range(len(begins) - 1)]
-    whole = (head_bits + 7) // 8
-    for i, a, b, o, n in zip(owner, starts.tolist(), ends.tolist(), where.tolist(), size.tolist()):
-        chunk = raw[o : o + n].copy()
-        chunk[:5] = list((0x2F | (WIDTH - 1) << 8 | ((b - a) // WIDTH - 1) << 22).to_bytes(5, "little"))
-        chunk[5 : 5 + whole] |= np.frombuffer(head.to_bytes(whole, "little"), np.uint8)
-        odd = b"\0" * (n & 1)
-        out[i] += [b"RIFF", (12 + n + len(odd)).to_bytes(4, "little"), b"WEBPVP8L", n.to_bytes(4, "little"), chunk.tobytes(), odd]
-    return [b"".join(parts) for parts in out]
-
-
-def padded(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-    """The texts of a piece with bytes of 0 up to a positive multiple of 64, and where each begins."""
-    sizes = np.diff(piece.offsets)
-    room = np.maximum(WIDTH, -(-sizes // WIDTH) * WIDTH)
-    begins = np.concatenate([[0], np.cumsum(room)])
-    out = np.zeros(int(begins[-1]), np.uint8)
-    out[gathered(begins[:-1], sizes)] = piece.data
-    return out, begins
-
-
-def read_samples(media: list[bytes]) -> list[bytes]:
-    """The samples of files that ``write_samples`` or anyone else has written: their pixels' green."""
-    return [b"".join((f >> 8 & 255).astype(np.uint8).tobytes() for f in own) for own in decode_many(media)]
-
-
-def feature(samples: bytes) -> str:
-    """Mean, spread, mean step to the right neighbour and a 16-part histogram of a picture."""
-    x = np.frombuffer(samples, np.uint8)
-    step = np.abs(np.diff(x.reshape(-1, WIDTH).astype(np.int16), axis=1))
-    parts = np.bincount(x >> 4, minlength=16) * 255 // len(x)
-    return f"{len(x) // WIDTH};{x.mean():.4f};{x.std():.4f};{step.mean():.4f};" + parts.astype(np.uint8).tobytes().hex()
-
-
-def samples_stored(docs: DataFrame) -> DataFrame:
-    """Rows doc_id, n_bytes, media (the stored file), samples (read back from it), feature (of what was read back)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            back = read_samples(media)
-            made = pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(np.concatenate(sizes)), pa.array(media, pa.binary()), pa.array(back, pa.binary()), pa.array(list(map(feature, back)), pa.string())], ["doc_id", "n_bytes", "media", "samples", "feature"])
-            for x in (ids, sizes, media):
-                x.clear()
-            return made
-
-        ids, sizes, media, held = [], [], [], 0
-        for batch in batches:
-            for piece in chunks(batch.column(1)):
-                samples, begins = padded(piece)
-                media += write_samples(samples, begins)
-                ids.append(batch.column(0).slice(piece.first, len(piece)))
-                sizes.append(np.diff(piece.offsets))
-                held += len(samples)
-                if held >= TOGETHER:
-                    yield out()
-                    held = 0
-        if ids:
-            yield out()
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, samples binary, feature string")
-
-
-def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = samples_stored(table(spark, sf_dir, "documents"))
-    tail = F.expr("substring(samples, -64, 64)")
-    return stored.select(
-        "doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -76,6 +77,51 @@ def test_token_counts(spark, odd, empty, rows, documents):
     assert tokencount.token_counts(spark, empty, raw).count() == 0
 
 
+def test_long_words_are_kept_apart(library, vocabulary, twins):
+    """Words that any polynomial hash modulo a power of two would take for each other, in one text and in several."""
+    from tokenizers import Tokenizer
+
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    column = [" ".join(twins), *twins]
+    known = bytebpe.ByteVocabulary(vocabulary)
+    for piece in chunks(pa.array(column), 1 << 17):
+        ids, ends, begins = known.encode(piece)
+        assert known.decode(ids, ends).tobytes() == piece.data.tobytes()
+        for i, (a, b) in enumerate(zip(begins[:-1], begins[1:])):
+            assert ids[a:b].tolist() == library.encode_ordinary(column[piece.first + i])
+    with open(path, "rb") as f:
+        counted = tokencount.WordVocabulary(f.read())
+    assert counted.count(column).tolist() == [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False)) for t in column]
+
+
+def test_every_special_token_counts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    with open(path, "rb") as f:
+        raw = json.loads(f.read())
+    raw["added_tokens"].append(raw["added_tokens"][0] | {"id": 49408, "content": "[cut]"})
+    library = Tokenizer.from_str(json.dumps(raw))
+    known = tokencount.WordVocabulary(json.dumps(raw).encode())
+    column = ["a [cut] b", "[cut][cut]", "<|endoftext|>x", "nothing", "[cu t]"]
+    assert known.count(column).tolist() == [len(library.encode(t, add_special_tokens=False)) for t in column]
+
+
+def test_unique_slices_when_hashes_meet(monkeypatch):
+    from leafmill.llm import arrays
+
+    monkeypatch.setattr(arrays, "slice_hashes", lambda data, starts, ends, lower=False: np.zeros(len(starts), np.uint64))
+    words = [b"a" * 9, b"b" * 9, b"short", b"c" * 50, b"c" * 49 + b"d", b"a" * 9, b"c" * 50, b"x" * 20]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    first, inverse = unique_slices(data, starts, ends)
+    assert [words[first[k]] for k in inverse] == words and len(first) == len(set(words))
+
+
 def test_scan_is_composition():
     r = random.Random(2)
     functions = np.array([r.randrange(256) for _ in range(1000)], np.uint8)

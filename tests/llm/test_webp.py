@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from leafmill.llm import webp
+from leafmill.llm import webp, webpstore
 from leafmill.llm.arrays import chunks
 
 
@@ -213,6 +213,10 @@ def test_palette(colours):
     assert (webp.decode(w.bytes()) == pixels).all()
 
 
+def one(mode, *neighbours):
+    return webp.predicted(np.array([mode]), *(n[None] for n in neighbours))[0]
+
+
 def residuals(pixels, modes, size):
     """What is left of pixels after prediction."""
     h, width = pixels.shape
@@ -227,7 +231,7 @@ def residuals(pixels, modes, size):
                 guess = c[y - 1, 0]
             else:
                 right = c[y - 1, x + 1] if x + 1 < width else c[y, 0]
-                guess = webp.predicted(int(modes[y >> size, x >> size]), c[y, x - 1], c[y - 1, x], right, c[y - 1, x - 1])
+                guess = one(int(modes[y >> size, x >> size]), c[y, x - 1], c[y - 1, x], right, c[y - 1, x - 1])
             out[y, x] = c[y, x] - guess
     return webp._packed(out)
 
@@ -260,12 +264,12 @@ def test_predictions():
     left, top, right, corner = (np.array([v] * 4) for v in (10, 21, 200, 12))
     want = {0: None, 1: 10, 2: 21, 3: 200, 4: 12, 5: ((10 + 200) // 2 + 21) // 2, 6: 11, 7: 15, 8: 16, 9: 110, 10: (11 + 110) // 2, 11: 21, 12: 19, 13: 15 + 1}
     for mode, value in want.items():
-        got = webp.predicted(mode, left, top, right, corner)
+        got = one(mode, left, top, right, corner)
         assert got.tolist() == ([255, 0, 0, 0] if value is None else [value] * 4), mode
 
 
 def test_damage():
-    good = webp.write_samples(np.arange(64, dtype=np.uint8), np.array([0, 64]))[0]
+    good = webpstore.write_samples(np.arange(64, dtype=np.uint8), np.array([0, 64]))[0]
     for bad in (b"RIFX" + good[4:], good[:-60], good[:20] + b"\0" + good[21:]):
         with pytest.raises((ValueError, IndexError)):
             webp.decode_many([bad])
@@ -283,12 +287,53 @@ def test_samples_and_mixed_columns():
         chunk = w.bytes() + b"\0" * (len(w.bytes()) & 1)
         files.append(b"RIFF" + (12 + len(chunk)).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + chunk)
     samples = np.random.default_rng(1).integers(0, 256, 64 * 50, dtype=np.uint8)
-    own = webp.write_samples(samples, np.array([0, 64, 640, 64 * 50]))
+    own = webpstore.write_samples(samples, np.array([0, 64, 640, 64 * 50]))
     got = webp.decode_many([own[0], files[0], own[1], files[1], own[2], files[2]])
     for i in range(3):
         assert (got[2 * i + 1][0] == pictures[i]).all()
-    assert b"".join(webp.read_samples(own)) == samples.tobytes()
-    assert [(f >> 8 & 255).astype(np.uint8).tobytes() for f in map(webp.decode, webp.frames(own[2]))] == [samples[640:].tobytes()]
+    assert b"".join(webpstore.read_samples(own)) == samples.tobytes()
+    assert [f.astype("<u4").tobytes() for f in map(webp.decode, webp.frames(own[2]))] == [samples[640:].tobytes()]
+
+
+def payloads():
+    """For each way of storing, something that it suits best; and texts at random."""
+    r = np.random.default_rng(6)
+    text = b" ".join(b"word%d" % r.integers(0, 300) for _ in range(900))
+    slope = (np.arange(64)[None, :] * 37 % 251 + np.arange(120)[:, None] * 1 + r.integers(0, 2, (120, 64))).astype(np.uint8).tobytes()
+    steps = np.cumsum(np.cumsum(r.integers(-1, 2, (30, 64)), axis=1), axis=0).astype(np.uint8).tobytes()
+    grey = np.repeat(np.cumsum(r.integers(-40, 41, (30, 16)), axis=1) & 255, 4, axis=1).astype(np.uint8).tobytes()
+    out = [b"", b"\0" * 6400, b"short", "é漢字😀".encode() * 9, text[:60], text[:1500], text + text[100:4000] + text[:333] + b"x" + text[1:900], b"abcd" * 40_000, slope, steps, grey, r.bytes(700), (b"-" * 61 + b"+\n\0") * 30]
+    out += [text[a : a + n] for a, n in zip(r.integers(0, 4000, 40).tolist(), r.integers(0, 900, 40).tolist())]
+    return [x + bytes(max(64, -(-len(x) // 64) * 64) - len(x)) for x in out]
+
+
+def test_every_way(monkeypatch):
+    raw, seen = payloads(), set()
+    samples, begins = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    laid = webpstore._laid
+    monkeypatch.setattr(webpstore, "_laid", lambda *a: seen.update(a[4].tolist()) or laid(*a))
+    media = webpstore.write_samples(samples, begins)
+    assert seen == {webpstore.PLAIN, webpstore.SHARED, webpstore.ABOVE, webpstore.BESIDE, webpstore.COLOURS}
+    assert webpstore.read_samples(media) == raw
+    for file, payload in zip(media, raw):  # and one by one, pixel by pixel
+        assert b"".join(webp.decode(f).astype("<u4").tobytes() for f in webp.frames(file)) == payload
+    for few, cached in ((1, 1 << 22), (10**9, 1 << 22), (1, 1)):
+        monkeypatch.setattr(webp, "FEW", few)
+        monkeypatch.setattr(webp, "CACHED", cached)
+        assert webpstore.read_samples(media) == raw
+    alone = [webpstore.write_samples(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0] for x in raw]
+    assert alone == media  # equal texts, equal files, whatever stands beside them
+
+
+def test_passages():
+    r = random.Random(9)
+    for _ in range(60):
+        pixels, frame = np.array([r.randrange(3) for _ in range(200)], np.uint32), np.sort([r.randrange(3) for _ in range(200)])
+        covered = 0
+        for start, length, back in webpstore.passages(pixels, frame).tolist():
+            assert start >= covered and length >= webpstore.PASSAGE and frame[start - back] == frame[start + length - 1]
+            assert all(pixels[i] == pixels[i - back] for i in range(start, start + length))
+            covered = start + length
 
 
 def test_query_and_odd(spark, rows, documents, odd, empty):
@@ -298,16 +343,27 @@ def test_query_and_odd(spark, rows, documents, odd, empty):
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = got.loc[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-    stored = webp.samples_stored(odd).collect()
+    stored = webpstore.samples_stored(odd).collect()
     assert sorted(bytes(r.samples).rstrip(b"\0") for r in stored) == sorted((r.text or "").encode() for r in odd.collect())
     assert len({(bytes(r.media), r.feature) for r in stored}) == len({bytes(r.samples) for r in stored})
-    assert webp.samples_stored(empty).count() == 0
+    for r in stored:  # the stored file by the decoder that goes pixel by pixel, the feature by plain arithmetic
+        raw = b"".join(webp.decode(f).astype("<u4").tobytes() for f in webp.frames(bytes(r.media)))
+        assert raw == bytes(r.samples)
+        lines = [raw[a : a + 64] for a in range(0, len(raw), 64)]
+        mean = sum(raw) / len(raw)
+        spread = (sum((x - mean) ** 2 for x in raw) / len(raw)) ** 0.5
+        step = sum(abs(a - b) for line in lines for a, b in zip(line, line[1:])) / (63 * len(lines))
+        parts = bytes(sum(x >> 4 == k for x in raw) * 255 // len(raw) for k in range(16)).hex()
+        head, own_mean, own_spread, own_step, *rest = r.feature.split(";")
+        assert head == str(len(lines)) and rest == [parts]
+        assert all(abs(float(a) - b) < 1e-4 for a, b in ((own_mean, mean), (own_spread, spread), (own_step, step)))
+    assert webpstore.samples_stored(empty).count() == 0
 
 
 def test_frames():
     import pyarrow as pa
 
     for piece in chunks(pa.array(["ab\n" * 800_000, None])):
-        samples, begins = webp.padded(piece)
-        media = webp.write_samples(samples, begins)
-        assert webp.read_samples(media) == [samples[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])]
+        samples, begins = webpstore.padded(piece)
+        media = webpstore.write_samples(samples, begins)
+        assert webpstore.read_samples(media) == [samples[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])]
