@@ -2,15 +2,15 @@
 
 The classifier reads words, word pairs and runs of 3 and 5 characters, each family hashed into 2 ** 16 weights and averaged over the text, so
 long texts do not outweigh short ones.  It is trained on the labelled quality rows, at most ``SAMPLE`` of each label (those
-of smallest hash), of which every fifth is held back for calibration: a slope and an intercept turn its sum into a
+of smallest hash) and at most ``ENTRIES`` different n-grams of texts in all, of which every fifth is held back for calibration: a slope and an intercept turn its sum into a
 probability under the true shares of the labels among all labelled rows.  Texts are scored in Arrow batches by a few array
 operations on all their bytes, and kept if the base rules pass and the probability reaches ``KEEP``.
 
-Scale: one map over the documents; the sample and the weights (1 MB) have fixed bounds.  Base counts come from hashes of
+Scale: one map over the documents; the sample, its n-grams and the weights (1 MB) have fixed bounds.  Base counts come from hashes of
 words, windows and lines of a whole piece at once.
 
 Defined results.  Null or empty text: no words, all counts 0, base_failed, not kept.  Labels of one kind only, or none: the
-classifier has no verdict and every text that passes the base rules is kept.  Null labels are left out; an id labelled twice
+classifier (or a sample of which no text fits) has no verdict and every text that passes the base rules is kept.  Null labels are left out; an id labelled twice
 counts by its larger label.  Rows are judged one by one, so repeated rows and ids do no harm.  Empty table: no rows."""
 
 from __future__ import annotations
@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import SPACE, U64, Piece, chunks, lean, mixed, slice_hashes, window_hashes, words
-from leafmill.llm.common import ship, table
+from leafmill.llm.common import saved, scratch, ship, table
 from leafmill.llm.logistic import fit, sigmoid
 
 SAMPLE = 1_500
+ENTRIES = 12_000_000  # n-grams of the sample, about 200 MB where it is fitted; texts in order of hash as long as they fit
 KEEP = 0.35
 BITS = 16
 GRAMS = (3, 5)
@@ -133,7 +134,7 @@ class Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Rows y, at, value of the sample: distinct buckets of all families with their share in the text."""
+    """Rows place, y, at, value, n of the sample: distinct buckets of all families with their share in the text, and how many."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y")).where("y is not null and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample) for y in (0, 1)]
@@ -150,15 +151,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
                         at[i].append((u + (f << BITS)).astype(np.int32))
                         value[i].append((n / max(1, b - a)).astype(np.float32))
                 made = [pa.array([np.concatenate(x).tobytes() for x in xs], pa.binary()) for xs in (at, value)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), *made], ["y", "at", "value"])
+                part = batch.slice(piece.first, len(piece))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *made, pa.array([sum(map(len, x)) for x in at], pa.int64())], ["place", "y", "at", "value", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select("y", "text")
-    return rows.mapInArrow(lean(run), "y int, at binary, value binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(chosen, "doc_id").select(F.xxhash64("doc_id", F.lit(5)).alias("place"), "text", "y")
+    return rows.mapInArrow(lean(run), "place long, y int, at binary, value binary, n long")
 
 
 def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = 60) -> Model | None:
     shares = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
-    rows = training_rows(docs, labels, sample).toPandas()
+    ship(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        laid_out = saved(docs.sparkSession, training_rows(docs, labels, sample), "quality-sample")
+        # a few numbers for each row of the sample: which of them fit, both labels alike
+        sizes = laid_out.select("place", "n").toPandas().groupby("place", sort=True)["n"].sum()
+        fit_in = sizes[sizes.cumsum() <= ENTRIES]
+        rows = laid_out.where(F.col("place") <= int(fit_in.index.max()) if len(fit_in) else F.lit(False)).select("y", "at", "value").toPandas()
     y = rows["y"].to_numpy(float)
     if len(rows) < 10 or y.min() == y.max():
         return None
@@ -168,7 +176,7 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds
 
     def laid(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = [np.frombuffer(x, np.int32) for x in at[which]]
-        return np.concatenate(own), np.concatenate([np.frombuffer(x, np.float32) for x in value[which]]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        return np.concatenate(own), np.concatenate([np.frombuffer(x, np.float32) for x in value[which]]), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
 
     def sums(parts: tuple[np.ndarray, np.ndarray, np.ndarray], w: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(parts[2], weights=w[parts[0]] * parts[1], minlength=n)
@@ -194,6 +202,7 @@ def train_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds
 
 def judged(docs: DataFrame, model: Model | None) -> DataFrame:
     """Rows doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability."""
+    ship(docs.sparkSession)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

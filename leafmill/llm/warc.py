@@ -6,14 +6,15 @@ ranges of page ids that hold about equal bytes.  A shard is written in order, ea
 file that has reached ``roll`` compressed bytes is closed and the next begun.  All headers follow from the record (ids by name,
 lengths, digests, a given date), and compression has no time stamp, so files are equal byte by byte in every run.
 
-Commit.  A file is written under a temporary name and renamed when complete, so a task that is lost or runs twice leaves
-the same file again.  The manifest (one row for each file, with records, bytes and digest) is written last; a
-file that it does not list is not part of the archive.
+Commit.  A file is written under a temporary name in a folder of such names and renamed when complete, so a task that is lost or
+runs twice leaves the same file again.  The manifest (one row for each file, with records, bytes and digest) is written last; a
+file that it does not list is not part of the archive.  What lost tasks have left under temporary names then goes.
 
 Reading.  The files of the manifest are dealt to tasks; each is read as a stream of gzip members, digests are checked.
 
-Scale: payloads are shuffled once, by shard.  Duplicates are found on digests alone, and only marks of revisits travel to the shards.  The plan of the shards is made from at most ``BUCKETS`` sums.  A bucket of ids that is larger than
-a shard (one id repeated millions of times) is divided further by digest.
+Scale: payloads are shuffled once, by shard.  Duplicates are found on digests alone, and only marks of revisits travel to the
+shards.  Shards grow with the archive, so that there are about ``SHARDS`` at most; the plan of the shards is made from at most
+``BUCKETS`` sums.  A bucket of ids that is larger than a shard (one id repeated millions of times) is divided further by digest.
 
 Files are reached by pyarrow's file systems under the shared folder (local, S3, GCS, HDFS).
 
@@ -31,16 +32,18 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm.arrays import lean
-from leafmill.llm.common import shared_dir, table
+from leafmill.llm.common import shared_dir, ship, table, until_end
 
 LEAST = 100
-SHARD = 48 << 20  # payload bytes
+SHARD = 48 << 20  # payload bytes, at least
+SHARDS = 1 << 13
 ROLL = 16 << 20  # compressed bytes
 BUCKETS = 1 << 16
+TEMPORARY = "_unfinished"
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard's name space of addresses
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -88,7 +91,7 @@ class Roller:
 
     def _begin(self) -> None:
         self.name = f"shard-{self.shard:06d}-{self.number:05d}.warc.gz"
-        self.temporary = f"{self.folder}/.{uuid.uuid4().hex}.tmp"
+        self.temporary = f"{self.folder}/{TEMPORARY}/{uuid.uuid4().hex}"
         self.out = self.files.open_output_stream(self.temporary)
         self.digest, self.size, self.records = hashlib.sha256(), 0, 0
         head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.name)), ("WARC-Date", DATE), ("WARC-Filename", self.name), ("Content-Type", "application/warc-fields")]
@@ -133,15 +136,21 @@ def revisits(rows: DataFrame) -> DataFrame:
     return large.join(shared.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
 
 
+def _bucket(low: int, shift: int) -> Column:
+    """The bucket of a page id; ids are shifted first, so that their difference fits."""
+    return F.coalesce(F.shiftright("page_id", shift) - F.lit(low), F.lit(-1))
+
+
 def shard_plan(spark: SparkSession, rows: DataFrame, shard: int) -> DataFrame:
-    """Rows bucket, base, ways for ``sharded``, and the width of the buckets in bits as column shift: which shards a bucket
-    of page ids goes to.  At most ``BUCKETS`` + 2 rows."""
+    """Rows bucket, base, ways for ``sharded``, and with how to find a bucket: which shards a bucket of page ids goes to.  At
+    most ``BUCKETS`` + 2 rows."""
     low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
     shift, low = 0, low or 0
     while ((high or 0) - low) >> shift > BUCKETS:
         shift += 1
-    bucket = F.coalesce(F.shiftright(F.col("page_id") - low, shift), F.lit(-1))
-    sums = rows.groupBy(bucket.alias("bucket")).agg(F.sum(F.length("payload") + 600).alias("size")).orderBy("bucket").collect()
+    low >>= shift
+    sums = rows.groupBy(_bucket(low, shift).alias("bucket")).agg(F.sum(F.length("payload") + 600).alias("size")).orderBy("bucket").collect()
+    shard = max(shard, -(-sum(row["size"] for row in sums) // SHARDS))
     plan, base, held = [], 0, 0
     for row in sums:
         if held and held + row["size"] > shard:
@@ -158,14 +167,15 @@ def shard_plan(spark: SparkSession, rows: DataFrame, shard: int) -> DataFrame:
 def lanes(spark: SparkSession, count: int) -> DataFrame:
     """Rows shard, lane: for each of ``count`` shards a number that hash partitioning sends to a partition of its own.
 
-    As many rows as there are shards, which ``BUCKETS`` and the shards' size bound."""
+    As many rows as there are shards, which ``SHARDS`` and ``BUCKETS`` bound."""
     found = spark.range(20 * count + 64).groupBy(F.pmod(F.hash("id"), F.lit(count)).alias("shard")).agg(F.min("id").alias("lane"))
     every = spark.range(count).select(F.col("id").alias("shard"))
     return every.join(found.withColumn("shard", F.col("shard").cast("long")), "shard", "left").withColumn("lane", F.coalesce("lane", "shard"))
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: int = SHARD, roll: int = ROLL) -> DataFrame:
-    """Writes the archive and returns its manifest, read back from where it was committed."""
+    """Writes the archive and returns its manifest, read back from where it was committed.  ``folder`` must be new."""
+    ship(spark)
     rows = digested(pages)
     # a revisit's mark goes to the same shard as its page and is sorted before it, so payloads move only once
     marks = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", "first")
@@ -174,13 +184,12 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: in
     plan = shard_plan(spark, sizes, shard)
     first = plan.select("low", "shift").first() or {"low": 0, "shift": 0}
     count = plan.agg(F.max(F.col("base") + F.col("ways"))).first()[0] or 1
-    bucket = F.coalesce(F.shiftright(F.col("page_id") - first["low"], first["shift"]), F.lit(-1))
     way = F.floor(F.conv(F.substring("digest", 1, 6), 16, 10).cast("long") * F.col("ways") / F.lit(1 << 24))
-    dealt = both.withColumn("bucket", bucket).join(F.broadcast(plan.select("bucket", "base", "ways")), "bucket").withColumn("shard", F.col("base") + way)
+    dealt = both.withColumn("bucket", _bucket(first["low"], first["shift"])).join(F.broadcast(plan.select("bucket", "base", "ways")), "bucket").withColumn("shard", F.col("base") + way)
     dealt = dealt.select("shard", "page_id", "url", "payload", "digest", "first")
     dealt = dealt.join(F.broadcast(lanes(spark, int(count))), "shard").repartition(int(count), "lane").drop("lane").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("payload").isNotNull(), "url")
     files, path = opened(folder)
-    files.create_dir(path, recursive=True)
+    files.create_dir(f"{path}/{TEMPORARY}", recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_now: Roller | None = None
@@ -201,6 +210,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, shard: in
             yield pa.RecordBatch.from_pylist([last], _MANIFEST)
 
     dealt.mapInArrow(lean(run), MANIFEST).coalesce(int(count)).write.parquet(f"{folder}/manifest")
+    files.delete_dir(f"{path}/{TEMPORARY}")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -265,7 +275,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/leafmill/warc-{uuid.uuid4().hex}"
-    write_archives(spark, table(spark, sf_dir, "pages"), folder)
+    write_archives(spark, table(spark, sf_dir, "pages"), until_end(spark, folder))
     return read_archives(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
