@@ -115,7 +115,7 @@ def _raw(records: DataFrame, args: argparse.Namespace, append: bool = False, out
     output = output or args.output
     rows = records.orderBy("ord") if "ord" in records.columns else records
     if output:
-        sinks.single(output, lambda path, zipped: sinks.write_raw(rows.coalesce(1), path, zipped), append)
+        sinks.single(output, lambda path, zipped: sinks.write_raw(rows.coalesce(1), path, zipped, level=args.compression), append)
         return
     for row in rows.select("raw").toLocalIterator():
         sys.stdout.buffer.write(row["raw"])
@@ -123,7 +123,7 @@ def _raw(records: DataFrame, args: argparse.Namespace, append: bool = False, out
 
 def _lines(lines: DataFrame, args: argparse.Namespace, separator: str = "\n") -> None:
     if args.output:
-        sinks.single(args.output, lambda path, zipped: sinks.write_text(lines.coalesce(1), path, zipped, separator=separator))
+        sinks.single(args.output, lambda path, zipped: sinks.write_text(lines.coalesce(1), path, zipped, separator=separator, level=args.compression))
         return
     for row in lines.toLocalIterator():
         sys.stdout.write(row[0] + separator)
@@ -134,7 +134,7 @@ def _table(rows: DataFrame, args: argparse.Namespace, header: bool) -> None:
 
     tsv = getattr(args, "tsv", False) or sinks.is_tsv(args.output)
     if args.output:
-        sinks.single(args.output, lambda path, zipped: sinks.write_table(rows.coalesce(1), path, header, tsv, zipped))
+        sinks.single(args.output, lambda path, zipped: sinks.write_table(rows.coalesce(1), path, header, tsv, zipped, level=args.compression))
         return
     out = csv.writer(sys.stdout, delimiter="\t" if tsv else ",", lineterminator="\n")
     if header:
@@ -173,8 +173,10 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
                 return
             if not args.output or args.output.removesuffix(".gz").endswith(".csv"):
                 _table(found, args, header=True)
+            elif args.output.removesuffix(".gz").endswith(".txt"):
+                _lines(check.report_text(found), args)
             else:
-                _lines(check.report_text(found) if args.output.removesuffix(".gz").endswith(".txt") else check.report_json(found), args)
+                sinks.write_document(check.report_json(found), args.output, args.compression)
         case "concat":
             if args.tee:
                 records = records.cache()

@@ -24,6 +24,7 @@ def byte_slice(value: Column, start: int = 0, end: int | None = None) -> Column:
 
 def similarity(value: Column, pattern: str) -> Column:
     """Normalised Levenshtein similarity by code points; two empty strings are alike."""
+    value = F.make_valid_utf8(value)
     longest = F.greatest(F.char_length(value), F.lit(len(pattern)))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1.0 - F.levenshtein(value, F.lit(pattern)) / longest)
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from leafmill.operators.project import Path, Query
 from leafmill.plans.compiler import THRESHOLD, width
+from leafmill.sources.shared import releasing, reused
 
 
 def count(records: DataFrame) -> DataFrame:
@@ -35,16 +36,18 @@ def frequency(records: DataFrame, query: str | Query, unique: bool = False, reve
 def describe(records: DataFrame) -> DataFrame:
     """Rows field, ind1, ind2 and a column for each subfield code with how often it stands there.
 
-    One pass counts tags, indicators and codes with partial sums; that small table is kept while the codes in it become columns."""
+    One pass, when this is called, counts tags, indicators and codes with partial sums; that small table is kept as long as the result,
+    whose columns are the codes in it."""
     fields = records.select(F.explode("fields").alias("f")).where("f.subfields is not null")
     keys = [F.col("f.tag").alias("field"), F.col("f.ind1").alias("ind1"), F.col("f.ind2").alias("ind2")]
     each = fields.select(*keys, F.explode_outer("f.subfields.code").alias("code"))
-    counted = each.groupBy("field", "ind1", "ind2", "code").agg(F.count("*").alias("n")).persist()
+    counted = each.groupBy("field", "ind1", "ind2", "code").agg(F.count("*").alias("n"))
+    counted = reused(counted)
     codes = sorted(r["code"] for r in counted.select("code").distinct().collect() if r["code"] is not None)
     names = [F.sum(F.when(F.col("code") == c, F.col("n")).otherwise(F.lit(0))).alias(c) for c in codes]
     if not names:
-        return counted.select("field", "ind1", "ind2").distinct()
-    return counted.groupBy("field", "ind1", "ind2").agg(*names).orderBy("field", "ind1", "ind2")
+        return releasing(counted.select("field", "ind1", "ind2").distinct(), counted)
+    return releasing(counted.groupBy("field", "ind1", "ind2").agg(*names).orderBy("field", "ind1", "ind2"), counted)
 
 
 def glimpse(records: DataFrame, path: str | Path, max_values: int = 10) -> DataFrame:
@@ -54,14 +57,14 @@ def glimpse(records: DataFrame, path: str | Path, max_values: int = 10) -> DataF
     path = Path.parse(path)
     wanted = set(path.codes)
     rows = records.select("ord", F.posexplode(path.fields()).alias("at", "f"), F.spark_partition_id().alias("part"))
-    rows = rows.select("ord", "at", "part", F.posexplode("f.subfields").alias("pos", "s")).select("ord", "at", "pos", "part", "s.code", "s.value")
+    rows = rows.select("ord", "at", "part", F.posexplode("f.subfields").alias("pos", "s")).select("ord", "at", "pos", "part", "s.code", F.make_valid_utf8("s.value").alias("value"))
     rows = rows.where(F.col("code").isin(*wanted)) if wanted else rows
     order = F.struct("ord", "at", "pos")
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = rows.withColumn("salt", F.pmod(F.col("part"), F.lit(parts)))
     near = salted.withColumn("place", F.row_number().over(Window.partitionBy("code", "salt").orderBy(order))).where(F.col("place") <= max_values)
     last = near.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(order))).where(F.col("place") <= max_values)
-    return last.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    return last.groupBy("code").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
 
 
 def glimpse_lines(found: DataFrame) -> DataFrame:

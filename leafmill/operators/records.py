@@ -71,7 +71,7 @@ def sample(records: DataFrame, n: int, seed: int | None = None) -> DataFrame:
 
 def hash_records(records: DataFrame) -> DataFrame:
     """cn, hash: SHA-256 of each record's bytes; no control number: an empty cn."""
-    return records.select(F.coalesce(control_number(), F.lit("")).alias("cn"), F.sha2("raw", 256).alias("hash"))
+    return records.select(F.make_valid_utf8(F.coalesce(control_number(), F.lit(""))).alias("cn"), F.sha2("raw", 256).alias("hash"))
 
 
 def invalid(records: DataFrame) -> DataFrame:
@@ -91,16 +91,19 @@ def valid(records: DataFrame, mode: str = "FAILFAST") -> DataFrame:
 def numbered(records: DataFrame, by: str = "ord") -> DataFrame:
     """``records`` with ``_row``, their position from 0.
 
-    Ranges of positions are sorted side by side and offset by the rows of the ranges before, so there is no sort in one task."""
+    Positions of files lie in runs of one split each (the bits above the lowest 26), other positions are cut into as many ranges of
+    equal width as there are partitions; ranges are sorted side by side and offset by the rows of the ranges before.  Finding the
+    ranges takes a pass over the positions when this is called."""
     spark = records.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = records.agg(F.min(by), F.max(by)).first()
+    run = F.shiftright(F.col(by), 26)
+    low, high, runs = records.agg(F.min(by), F.max(by), F.approx_count_distinct(run)).first()
     span = max(1, -(-((high or 0) - (low or 0) + 1) // parts))
-    ranged = records.withColumn("_range", F.floor((F.col(by) - F.lit(low or 0)) / F.lit(span)))
-    # one row a range: at most as many as there are partitions
+    ranged = records.withColumn("_range", run if runs > 1 else F.floor((F.col(by) - F.lit(low or 0)) / F.lit(span)))
+    # one row a range: a split, or one of as many as there are partitions
     sums = ranged.groupBy("_range").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(by))
-    return ranged.withColumn("_place", place).join(F.broadcast(sums.select("_range", "_before")), "_range").withColumn("_row", F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
+    return ranged.withColumn("_place", place).join(sums.select("_range", "_before"), "_range").withColumn("_row", F.col("_before") + F.col("_place") - 1).drop("_range", "_place", "_before")
 
 
 def split(records: DataFrame, size: int) -> DataFrame:
@@ -115,7 +118,7 @@ def partition(records: DataFrame, path: str | Path) -> DataFrame:
     path = Path.parse(path)
     if not path.width:
         return records.withColumn("value", F.lit("")).where(F.lit(False))
-    return records.withColumn("value", F.explode(F.array_sort(F.array_distinct(path.values()))))
+    return records.withColumn("value", F.explode(F.sort_array(F.array_distinct(F.transform(path.values(), F.make_valid_utf8)))))
 
 
 def text_column() -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import normalized
 from leafmill.operators.project import Matcher, Path
+from leafmill.plans.compiler import any_of
+from leafmill.sources.shared import releasing, reused
 
 # Vocabularies and kinds of labels.
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -81,8 +83,8 @@ def _label(value: Column, translit: str | None) -> Column:
 def skosify(records: DataFrame, config: str | Graph, unique: bool = True) -> DataFrame:
     """The graph as a set of triples s, p, o; o is ``<address>`` or ``"text"``.
 
-    All triples of a record come from one pass.  Collections are counted with partial sums and joined back to their members.
-    unique: two records of the same subject are an error."""
+    One pass over the records makes all labels and memberships; these rows are kept as long as the result, because collections are
+    counted (with partial sums) before they are joined back to their members.  unique: two records of the same subject are an error."""
     graph = config if isinstance(config, Graph) else Graph.parse(config)
     if graph.scope is not None:
         records = records.where(graph.scope.column())
@@ -96,29 +98,35 @@ def skosify(records: DataFrame, config: str | Graph, unique: bool = True) -> Dat
     def labelled(values: Column, kind: str) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(SKOS + LABELS[kind]).alias("p"), v.alias("v")))
 
+    def membership(values: Column, number: int) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(number).alias("c"), none.alias("p"), v.alias("v")))
+
+    none = F.lit(None).cast("string")
     kinds = [labelled(within(own.scope, path.values()), kind) for own in graph.concepts.values() for kind, path in own.labels]
     sets = {name: within(own.scope, own.uri.values()) for name, own in graph.collections.items()}
     labels = F.concat(*kinds) if kinds else F.array().cast("array<struct<p:string,v:string>>")
-    base = records.select(graph.uri.first().alias("s"), labels.alias("labels"), *(v.alias(f"c_{i}") for i, v in enumerate(sets.values()))).where("s is not null")
-    text = F.concat(F.lit('"'), _label(F.col("l.v"), graph.translit), F.lit('"'))
-    kind = F.struct(F.lit(f"{RDF}type").alias("p"), F.lit(None).cast("string").alias("v"))
-    told = base.select("s", F.explode(F.concat(F.array(kind), "labels")).alias("l"))
-    concept = iri(SKOS + "Concept")
-    out = told.select(iri(F.col("s")).alias("s"), iri(F.col("l.p")).alias("p"), F.when(F.col("l.v").isNull(), concept).otherwise(text).alias("o"))
-    for i, own in enumerate(graph.collections.values()):
-        members = base.select(F.explode(f"c_{i}").alias("set"), "s")
-        sizes = members.groupBy("set").agg(F.count("*").alias("n"))
-        sizes = sizes.where(F.col("n") >= own.least) if own.least else sizes
-        sizes = sizes.where(F.col("n") <= own.most) if own.most else sizes
-        kept = members.join(sizes.select("set"), "set")
-        out = out.union(sizes.select(iri(F.col("set")), F.lit(f"<{RDF}type>"), iri(SKOS + "Collection")))
-        out = out.union(kept.select(iri(F.col("set")), F.lit(f"<{RDF}member>"), iri(F.col("s"))))
+    kind = F.struct(F.lit(f"{RDF}type").alias("p"), none.alias("v"))
+    rows = [F.transform(F.concat(F.array(kind), labels), lambda x: F.struct(F.lit(-1).alias("c"), x["p"].alias("p"), x["v"].alias("v")))]
+    rows += [membership(values, i) for i, values in enumerate(sets.values())]
+    told = records.select(graph.uri.first().alias("s"), F.explode(F.concat(*rows)).alias("l")).where("s is not null").select("s", "l.*")
+    told = reused(told) if sets else told
+    concept, text = iri(SKOS + "Concept"), F.concat(F.lit('"'), _label(F.col("v"), graph.translit), F.lit('"'))
+    out = told.where("c < 0") if sets else told
+    out = out.select(iri(F.col("s")).alias("s"), iri(F.col("p")).alias("p"), F.when(F.col("v").isNull(), concept).otherwise(text).alias("o"))
+    if sets:
+        members = told.where("c >= 0").select("c", "v", "s")
+        sizes = members.groupBy("c", "v").agg(F.count("*").alias("n"))
+        bounds = [(F.col("c") == i) & (F.col("n") >= own.least) & ((F.col("n") <= own.most) if own.most else F.lit(True)) for i, own in enumerate(graph.collections.values())]
+        sizes = sizes.where(any_of(bounds)).select("c", "v")
+        out = out.union(sizes.select(iri(F.col("v")), F.lit(f"<{RDF}type>"), iri(SKOS + "Collection")))
+        out = out.union(members.join(sizes, ["c", "v"]).select(iri(F.col("v")), F.lit(f"<{RDF}member>"), iri(F.col("s"))))
+    used = [told] if sets else []
     if not unique:
-        return out.toDF("s", "p", "o").distinct()
+        return releasing(out.toDF("s", "p", "o").distinct(), *used)
     # making the graph a set counts its triples, so a subject that stands twice shows without another pass
     counted = out.toDF("s", "p", "o").groupBy("s", "p", "o").agg(F.count("*").alias("n"))
     error = F.raise_error(F.concat(F.lit("the graph already contains a concept with address "), F.col("s"))).cast("string")
-    return counted.select(F.when((F.col("o") == concept) & (F.col("n") > 1), error).otherwise(F.col("s")).alias("s"), "p", "o")
+    return releasing(counted.select(F.when((F.col("o") == concept) & (F.col("n") > 1), error).otherwise(F.col("s")).alias("s"), "p", "o"), *used)
 
 
 def escaped(term: Column) -> Column:

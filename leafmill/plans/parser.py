@@ -27,6 +27,7 @@ COMPARISONS = ("==", "!=", ">=", "<=", ">", "<")
 LISTED = {"=?": ("=?", False), "!?": ("=?", True), "=^": ("=^", False), "!^": ("=^", True), "=$": ("=$", False), "!$": ("=$", True), "=~": ("=~", False), "!~": ("=~", True), "=*": ("=*", False), "!*": ("=*", True)}
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\\": "\\", "/": "/", "'": "'", '"': '"'}
 DEEPEST = 256
+MOST = 4294967295
 
 
 class _Fail(Exception):
@@ -97,9 +98,9 @@ class Parser:
 
     def number(self) -> int:
         start = self.at
-        while self.at < len(self.text) and self.text[self.at] in DIGITS and self.at - start < 9:
+        while self.at < len(self.text) and self.text[self.at] in DIGITS:
             self.at += 1
-        if self.at == start:
+        if self.at == start or int(self.text[start : self.at]) > MOST:
             raise self.fail()
         return int(self.text[start : self.at])
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import normalized
 from leafmill.operators import aggregates, check, records as ops, skos
 from leafmill.operators.project import Matcher, Query, control_number
-from leafmill.sources import tables
+from leafmill.sources import sinks, tables
 from leafmill.sources.encode import encoded
-from leafmill.sources.scan import decoded
+from leafmill.sources.scan import decoded, read_files, scan_records
+from leafmill.sources.shared import shared_dir, until_end
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -91,6 +94,9 @@ FILTERS = {
     "substr_negated": ("490.a !? ['URG', 'LOW']", orders_where("NOT contains(o_orderpriority, 'URG') AND NOT contains(o_orderpriority, 'LOW')")),
     "regex": ('490.a =~ "^[12]-"', orders_where("regexp_matches(o_orderpriority, '^[12]-')")),
     "regex_negated": ('490.a !~ ["^[12]-", "LOW$"]', orders_where("NOT regexp_matches(o_orderpriority, '^[12]-') AND NOT regexp_matches(o_orderpriority, 'LOW$')")),
+    "regex_posix": ('490.a =~ "^[[:digit:]]-[[:upper:]--[A-L]]"', orders_where("regexp_matches(o_orderpriority, '^[0-9]-[M-Z]')")),
+    "regex_multiline": ('490.a =~ "(?m)^\\\\d-(?:high|low)$(?-m)" || 490.a =~ "(?i:^5-low)\\\\z"', orders_where("regexp_matches(o_orderpriority, '^5-LOW$')")),
+    "regex_script": ('043.a =~ "^\\\\p{Latin}+_\\\\p{Nd}$"', orders_where("regexp_matches(n_name, '^[A-Za-z]+_[0-9]$')")),
     "strsim": ("490.a =* '3-MEDIVM'", orders_where(SIMILAR.format("3-MEDIVM"))),
     "strsim_negated": ("490.a !* ['3-MEDIVM', '1-URGENT']", orders_where(f"NOT ({SIMILAR.format('3-MEDIVM')}) OR NOT ({SIMILAR.format('1-URGENT')})")),
     "any": ("ANY 650{ 9 == 'F' }", having("bool_or(l_linestatus = 'F')")),
@@ -158,21 +164,22 @@ add("q_partition", lambda s, d: ops.partition(tables.orders(s, d, {"001", "650"}
 add("q_split", lambda s, d: ops.split(tables.orders(s, d, {"001"}), 1000).select("chunk", control_number().alias("cn")), "SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk, o_orderkey::VARCHAR AS cn FROM orders")
 add("q_concat", lambda s, d: ops.concat(*(ops.filter_records(tables.orders(s, d, {"001", "005"}), '005[:4] < "1996"', invert) for invert in (False, True))).select(control_number().alias("cn")), "SELECT o_orderkey::VARCHAR AS cn FROM orders")
 add("q_limit", lambda s, d: ops.where(tables.orders(s, d, {"001", "490"}), '490.a == "1-URGENT"', 100).select(control_number().alias("cn")), "SELECT o_orderkey::VARCHAR AS cn FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 100)")
-add("q_sample", lambda s, d: ops.sample(tables.orders(s, d, {"001"}), 50, 7).select(control_number().alias("cn")))
+
+
+def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be said of any sample: its size, how many records are in it, and that all of them are records of the source."""
+    drawn = ops.sample(tables.orders(spark, sf_dir, {"001"}), 50, 7).select(control_number().alias("cn"))
+    source = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    return drawn.join(source, F.col("cn") == F.col("key"), "left").agg(F.count("*").alias("n"), F.count_distinct("cn").alias("records"), F.bool_and(F.col("key").isNotNull()).alias("within"))
+
+
+add("q_sample", _sample, "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS records, true AS within FROM (SELECT * FROM orders LIMIT 50)")
 _LINES = """'LDR 00000' || lower(o_orderstatus) || 'a  a2200000   4500' || chr(10) || '001 ' || o_orderkey || chr(10) || '003 TPCH' || chr(10) || '005 ' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '.0' || chr(10)
 || '008 ' || strftime(o_orderdate, '%y%m%d') || lower(o_orderstatus) || chr(10) || '043 $a ' || n_name || chr(10) || '100/1# $a ' || c_name || ' $d ' || c_mktsegment || chr(10) || '490 $a ' || o_orderpriority
 || coalesce((SELECT string_agg(chr(10) || '650 $a ' || l_partkey || ' $b ' || l_suppkey || ' $2 ' || l_returnflag || ' $9 ' || l_linestatus, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus) FROM lineitem WHERE l_orderkey = o_orderkey), '')"""
 add("q_print", lambda s, d: ops.print_records(tables.orders(s, d)).drop("ord"), f"SELECT {_LINES} AS text FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 add("q_hash", lambda s, d: ops.hash_records(tables.orders(s, d).withColumn("raw", ops.text_column().cast("binary"))), f"SELECT o_orderkey::VARCHAR AS cn, sha256({_LINES}) AS hash FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
-add("q_translit", lambda s, d: tables.documents(s, d, {"001", "520"}).select(control_number().alias("cn"), _normal(F.col("fields")[1]["subfields"][0]["value"]).alias("text")), "SELECT doc_id::VARCHAR AS cn, nfc_normalize(text) AS text FROM documents")
-
-
-def _normal(text):
-    from leafmill.functions.text import normalized
-
-    return normalized(normalized(text, "nfd"), "nfc")
-
-
+add("q_translit", lambda s, d: tables.documents(s, d, {"001", "520"}).select(control_number().alias("cn"), normalized(normalized(F.col("fields")[1]["subfields"][0]["value"], "nfd"), "nfc").alias("text")), "SELECT doc_id::VARCHAR AS cn, nfc_normalize(text) AS text FROM documents")
 
 
 def _recoded(spark: SparkSession, sf_dir: str, tags: set[str] | None, damage: str | None = None) -> DataFrame:
@@ -185,6 +192,95 @@ add("q_roundtrip", lambda s, d: Query.parse("001, 005, 650{ a, b }").select(_rec
 _BROKEN = "CASE WHEN ord % 7 = 0 THEN concat(X'78', substring(content, 2)) WHEN ord % 11 = 0 THEN concat(content, X'78') ELSE content END"
 add("q_invalid", lambda s, d: _recoded(s, d, {"001", "490"}, _BROKEN).where("not valid").select("ord", "err"), "SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 'invalid leader' ELSE 'invalid size' END AS err FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0")
 
+# -- record files -----------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all tasks share; it goes with the application."""
+    return until_end(spark, f"{shared_dir(spark)}/leafmill/q-{uuid.uuid4().hex}")
+
+
+def _written(spark: SparkSession, sf_dir: str, tags: set[str], compression: str | None = None, where: str | None = None) -> str:
+    """A folder of record files with the orders."""
+    path = _folder(spark)
+    sinks.write_raw(encoded(ops.where(tables.orders(spark, sf_dir, tags | {"005"}), where)), path, compression)
+    return path
+
+
+def _scan(compression: str | None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return scan_records(spark, _written(spark, sf_dir, {"001", "650"}, compression), "001, 005[:4], 650{ a, b }", header="cn, year, part, supplier", where='005[:4] < "1997"', mode="FAILFAST")
+
+    return run
+
+
+_SCAN = f"SELECT o_orderkey::VARCHAR AS cn, strftime(o_orderdate, '%Y') AS year, coalesce(l_partkey::VARCHAR, '') AS part, coalesce(l_suppkey::VARCHAR, '') AS supplier FROM {ITEMS} WHERE o_orderdate < DATE '1997-01-01'"
+add("q_scan_file", _scan(None), _SCAN)
+add("q_scan_gzip", _scan("gzip"), _SCAN)
+
+
+def _in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two folders and one of them again, in the order in which they are given."""
+    late, early = (_written(spark, sf_dir, {"001"}, c, w) for c, w in ((None, '005[:4] >= "1997"'), ("gzip", '005[:4] < "1997"')))
+    rows = ops.numbered(read_files(spark, [late, early, late])).select("_row", "source", control_number().alias("cn"))
+    return rows.groupBy(F.when(F.col("source").contains(early.rsplit("/", 1)[1]), "early").otherwise("late").alias("which"), "cn").agg(F.min("_row").alias("low"), F.max("_row").alias("high")).groupBy("which").agg(
+        F.count("*").alias("records"), F.min("low").alias("first"), F.max("low").alias("last"), F.min("high").alias("first_again"), F.max("high").alias("last_again"))
+
+
+add("q_scan_in_order", _in_order, """
+WITH n AS (SELECT count(*) FILTER (WHERE o_orderdate >= DATE '1997-01-01') AS late, count(*) FILTER (WHERE o_orderdate < DATE '1997-01-01') AS early FROM orders)
+SELECT 'late' AS which, late AS records, 0 AS first, late - 1 AS last, late + early AS first_again, 2 * late + early - 1 AS last_again FROM n
+UNION ALL SELECT 'early', early, late, late + early - 1, late, late + early - 1 FROM n""")
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose records are cut short or damaged, read with what is unreadable."""
+    raw = encoded(tables.orders(spark, sf_dir, {"001", "490"})).withColumn("content", F.expr("substring(raw, 1, length(raw) - 1)"))
+    broken = raw.withColumn("raw", F.concat(F.expr(_BROKEN), F.lit(b"\x1d")))
+    path = _folder(spark)
+    sinks.write_raw(broken, path)
+    return read_files(spark, path, "PERMISSIVE").groupBy(F.coalesce("err", F.lit("")).alias("err")).agg(F.count("*").alias("n"))
+
+
+add("q_scan_damaged", _cut, "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'invalid leader' WHEN o_orderkey % 11 = 0 THEN 'invalid size' ELSE '' END AS err, count(*) AS n FROM orders GROUP BY 1")
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.describe(read_files(spark, _written(spark, sf_dir, {"001", "490", "650"})))
+
+
+add("q_describe_file", _described, """
+SELECT '490' AS field, ' ' AS ind1, ' ' AS ind2, 0 AS "2", 0 AS "9", count(*) AS a, 0 AS b FROM orders
+UNION ALL SELECT '650', ' ', ' ', count(*), count(*), count(*), count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+
+
+def _table_sink(tsv: bool):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        sinks.write_table(Query.parse("001, 100/1#{ a, d }").select(tables.orders(spark, sf_dir, {"001", "100"}), "cn, name, segment"), path, header=True, tsv=tsv, compression="gzip" if tsv else None)
+        return spark.read.schema("cn string, name string, segment string").option("header", True).option("sep", "\t" if tsv else ",").csv(path)
+
+    return run
+
+
+_TABLE = "SELECT o_orderkey::VARCHAR AS cn, c_name AS name, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey"
+add("q_sink_csv", _table_sink(False), _TABLE)
+add("q_sink_tsv", _table_sink(True), _TABLE)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts over a stream of record files, after all of them have arrived."""
+    from leafmill.streaming.records import stream_frequency, stream_records
+
+    path, name = _written(spark, sf_dir, {"001", "490"}), f"q_{uuid.uuid4().hex}"
+    counts = stream_frequency(stream_records(spark, path), "490.a", "priority")
+    running = counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", _folder(spark)).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.table(name)
+
+
+add("q_stream_frequency", _streamed, "SELECT o_orderpriority AS priority, count(*) AS count FROM orders GROUP BY 1")
+
 # -- rules and graphs --------------------------------------------------------------
 
 RULES = """

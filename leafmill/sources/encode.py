@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.sources.model import settled
+
 FIELD_MOST, RECORD_MOST = 9_999, 99_999
 
 
@@ -22,23 +24,23 @@ def encoded(records: DataFrame, strict: bool = True) -> DataFrame:
         text = F.when(f["subfields"].isNull(), _bytes(f["value"])).otherwise(F.concat(f["ind1"], f["ind2"], subs))
         return F.concat(text, F.lit("\x1e"))
 
-    rows = records.withColumn("_b", F.transform("fields", body)).withColumn("_s", F.transform("_b", lambda b: F.length(b)))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
-    starts = F.aggregate("_s", none, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
-    rows = rows.withColumn("_at", starts["all"])
+    rows = settled(records, _b=F.transform("fields", body))
+    rows = settled(rows, _s=F.transform(F.arrays_zip("fields.tag", "_b"), lambda e: F.struct(e["tag"].alias("tag"), F.length(e["_b"]).alias("size"))))
 
     def number(value: Column, width: int) -> Column:
         return F.lpad(value.cast("string"), width, "0")
 
-    entries = F.transform(F.arrays_zip("fields", "_s", "_at"), lambda e: F.concat(e["fields"]["tag"], number(e["_s"], 4), number(e["_at"], 5)))
+    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+    laid = F.aggregate("_s", none, lambda a, x: F.struct((a["at"] + x["size"]).alias("at"), F.concat(a["text"], x["tag"], number(x["size"], 4), number(a["at"], 5)).alias("text")))
+    rows = settled(rows, _d=laid)
     base = F.lit(24) + 12 * F.size("fields") + 1
-    size = base + F.aggregate("_s", F.lit(0), lambda a, x: a + x) + 1
+    size = base + F.col("_d.at") + 1
 
     def part(name: str) -> Column:
         return F.coalesce(F.col("leader")[name], F.lit(" "))
 
     head = F.concat(number(size, 5), part("status"), part("type"), part("idef1"), part("idef2"), part("encoding"), F.lit("22"), number(base, 5), part("idef3"), part("idef4"), part("idef5"), F.lit("4500"))
-    text = F.concat(head, F.array_join(entries, ""), F.lit("\x1e"), F.array_join("_b", ""), F.lit("\x1d"))
-    fits = (size <= RECORD_MOST) & F.forall("_s", lambda s: s <= FIELD_MOST)
+    text = F.concat(head, F.col("_d.text"), F.lit("\x1e"), F.array_join("_b", ""), F.lit("\x1d"))
+    fits = (size <= RECORD_MOST) & F.forall("_s", lambda s: s["size"] <= FIELD_MOST)
     other = F.raise_error(F.concat(F.lit("too large for the format: record "), F.col("ord").cast("string"))).cast("string") if strict else F.lit(None).cast("string")
-    return rows.withColumn("raw", F.encode(F.when(fits, text).otherwise(other), "ISO-8859-1")).drop("_b", "_s", "_at")
+    return rows.withColumn("raw", F.encode(F.when(fits, text).otherwise(other), "ISO-8859-1")).drop("_b", "_s", "_d")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEADER = "struct<length:int,status:string,type:string,idef1:string,idef2:string,encoding:string,base_addr:int,idef3:string,idef4:string,idef5:string>"
@@ -18,7 +18,7 @@ def control(tag: str, value: Column) -> Column:
 
 
 def data(tag: str, indicators: str, *subfields: tuple[str, Column]) -> Column:
-    subs = F.array(*(F.struct(F.lit(c).alias("code"), F.coalesce(v.cast("string"), F.lit("")).alias("value")) for c, v in subfields)).cast(SUBFIELDS)
+    subs = F.array(*(F.struct(F.lit(c).alias("code"), F.coalesce(v.cast("string"), F.lit("")).alias("value")) for c, v in subfields))
     return F.struct(F.lit(tag).alias("tag"), F.lit(indicators[0]).alias("ind1"), F.lit(indicators[1]).alias("ind2"), F.lit(None).cast("string").alias("value"), subs.alias("subfields"))
 
 
@@ -27,6 +27,13 @@ def leader(status: Column, kind: str = "a", encoding: str = "a") -> Column:
     return F.struct(*(v.alias(k) for k, v in parts.items()))
 
 
+def settled(rows: DataFrame, **made: Column) -> DataFrame:
+    """``rows`` with more columns that are computed once for each row, however often they are used: a generator of one element, which
+    the optimizer does not look through."""
+    one = F.explode(F.array(F.struct(*(c.alias(name) for name, c in made.items())))).alias("_settled")
+    return rows.select("*", one).select(*(c for c in rows.columns if c not in made), *(F.col(f"_settled.{name}").alias(name) for name in made))
+
+
 def is_control(field: Column) -> Column:
     return field["subfields"].isNull()
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.sources.model import FIELD, FIELDS, LEADER, control, data, leader
+from leafmill.sources.model import FIELDS, control, data, leader
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,23 @@ def _records(rows: DataFrame, source: str, ord_: Column, head: Column, *fields:
     for f in fields:
         if isinstance(f, tuple):
             if single:
-                parts.append(F.array(*single).cast(FIELDS))
+                parts.append(F.array(*single))
                 single = []
             parts.append(F.coalesce(f[0], F.array().cast(FIELDS)))
         else:
             single.append(f)
     if single:
-        parts.append(F.array(*single).cast(FIELDS))
+        parts.append(F.array(*single))
     made = (F.concat(*parts) if len(parts) > 1 else parts[0]) if parts else F.array().cast(FIELDS)
-    return rows.select(F.lit(source).alias("source"), ord_.cast("long").alias("ord"), F.lit(None).cast("binary").alias("raw"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("err"), head.cast(LEADER).alias("leader"), made.alias("fields"))
+    return rows.select(F.lit(source).alias("source"), ord_.cast("long").alias("ord"), F.lit(None).cast("binary").alias("raw"), F.lit(True).alias("valid"), F.lit(None).cast("string").alias("err"), head.alias("leader"), made.alias("fields"))
+
+
+def _gathered(rows: DataFrame, key: str, order: tuple[str, ...], field: Column) -> DataFrame:
+    """A row for each key with ``items``: its rows in order, each with its field.
+
+    Narrow rows are shuffled; fields are built behind the shuffle by generated code, before they are brought together."""
+    rows = rows.select(key, *order).repartition(key)
+    return rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, field.alias("field")))).alias("items"))
 
 
 def orders(spark: SparkSession, sf_dir: str, tags: set[str] | None = None) -> DataFrame:
@@ -40,8 +48,9 @@ def orders(spark: SparkSession, sf_dir: str, tags: set[str] | None = None) -> Da
 
     rows = table(spark, sf_dir, "orders")
     if want("650"):
-        item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
-        items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        item = ("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+        field = data("650", "  ", ("a", F.col("l_partkey")), ("b", F.col("l_suppkey")), ("2", F.col("l_returnflag")), ("9", F.col("l_linestatus")))
+        items = _gathered(table(spark, sf_dir, "lineitem"), "l_orderkey", item, field)
         rows = rows.join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     if want("043", "100"):
         customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
@@ -64,8 +73,7 @@ def orders(spark: SparkSession, sf_dir: str, tags: set[str] | None = None) -> Da
     if want("490"):
         fields.append(data("490", "  ", ("a", F.col("o_orderpriority"))))
     if want("650"):
-        each = F.transform("items", lambda i: data("650", "  ", ("a", i["l_partkey"]), ("b", i["l_suppkey"]), ("2", i["l_returnflag"]), ("9", i["l_linestatus"])).cast(FIELD))
-        fields.append((each,))
+        fields.append((F.col("items.field"),))
     return _records(rows, "orders", F.col("o_orderkey"), leader(F.lower("o_orderstatus")), *fields)
 
 
@@ -89,7 +97,7 @@ def documents(spark: SparkSession, sf_dir: str, tags: set[str] | None = None) ->
     if want("520"):
         fields.append(data("520", "  ", ("a", F.col("text"))))
     if want("655"):
-        label = F.array(data("655", " 7", ("a", F.col("quality")), ("b", F.col("toxic")), ("2", F.lit("label")))).cast(FIELDS)
+        label = F.array(data("655", " 7", ("a", F.col("quality")), ("b", F.col("toxic")), ("2", F.lit("label"))))
         fields.append((F.when(F.col("of").isNotNull(), label),))
     if want("773"):
         fields.append(data("773", "  ", ("t", F.col("source"))))
@@ -110,7 +118,6 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each conversation with a field 700 for each turn."""
-    turn = F.struct("turn", "role", "text")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    each = F.transform("turns", lambda t: data("700", "  ", ("a", t["role"]), ("t", t["text"]), ("n", t["turn"])).cast(FIELD))
-    return _records(rows, "conversations", F.col("conv_id"), leader(F.lit("n")), control("001", F.col("conv_id")), (each,))
+    field = data("700", "  ", ("a", F.col("role")), ("t", F.col("text")), ("n", F.col("turn")))
+    rows = _gathered(table(spark, sf_dir, "conversations"), "conv_id", ("turn", "role", "text"), field)
+    return _records(rows, "conversations", F.col("conv_id"), leader(F.lit("n")), control("001", F.col("conv_id")), (F.col("items.field"),))
