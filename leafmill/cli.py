@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import gzip
 import os
 import shutil
 import sys
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import shell
 from leafmill.errors import InvalidRecordError, ParseError
 from leafmill.functions.text import FORMS
 from leafmill.operators import aggregates, check, records as ops, skos
@@ -88,6 +90,10 @@ def parser() -> argparse.ArgumentParser:
     own = command("split", "size")
     own.add_argument("--filename", default="{}.mrc")
     own.add_argument("-o", "--outdir", default=".")
+    own = commands.add_parser("build-completion")
+    own.add_argument("shell", choices=shell.SHELLS)
+    own.add_argument("-o", "--output", required=True)
+    commands.add_parser("build-man").add_argument("-o", "--outdir", required=True)
     return main
 
 
@@ -162,6 +168,17 @@ def _files(records: DataFrame, by: str, template: str, directory: str, always: S
         shutil.rmtree(holder)
 
 
+def built(args: argparse.Namespace) -> bool:
+    """Whether the command was one of those that need no records."""
+    if args.command == "build-completion":
+        os.makedirs(os.path.dirname(os.path.abspath(args.output)), exist_ok=True)
+        with gzip.open(args.output, "wt") if args.output.endswith(".gz") else open(args.output, "w", encoding="utf-8") as out:
+            out.write(shell.completion(parser(), args.shell))
+    elif args.command == "build-man":
+        shell.write_manuals(parser(), args.outdir)
+    return args.command.startswith("build-")
+
+
 def run(args: argparse.Namespace, spark: SparkSession) -> None:
     records = read(spark, args)
     strsim = getattr(args, "strsim_threshold", 80) / 100
@@ -227,7 +244,7 @@ def run(args: argparse.Namespace, spark: SparkSession) -> None:
 
 def resolved(argv: Sequence[str]) -> list[str]:
     """Arguments with an abbreviated command written out."""
-    known = ["check", "concat", "count", "dedup", "describe", "filter", "frequency", "glimpse", "grep", "hash", "invalid", "partition", "print", "sample", "select", "skosify", "split"]
+    known = ["build-completion", "build-man", "check", "concat", "count", "dedup", "describe", "filter", "frequency", "glimpse", "grep", "hash", "invalid", "partition", "print", "sample", "select", "skosify", "split"]
     argv = list(argv)
     if argv and argv[0] not in known and argv[0] not in ALIASES:
         found = [k for k in known if k.startswith(argv[0])]
@@ -243,6 +260,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     if more:  # paths that follow options
         args.path = [*([] if args.path == ["-"] else args.path), *more]
     try:
+        if built(args):
+            return 0
         began = time.monotonic()
         run(args, spark or session())
         if args.progress:

@@ -141,9 +141,12 @@ def ntriples(triples: DataFrame) -> DataFrame:
     return triples.select(F.concat(F.concat_ws(" ", "s", "p", escaped(F.col("o"))), F.lit(" .")).alias("line"))
 
 
-def turtle(triples: DataFrame) -> DataFrame:
-    """One block for each subject, its predicates and objects in order."""
+def turtle(triples: DataFrame, most: int = 10_000) -> DataFrame:
+    """Blocks of a subject, its predicates and objects in order; a subject of more than ``most`` triples has several blocks."""
     own = triples.select("s", "p", escaped(F.col("o")).alias("o"))
-    objects = own.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set("o")), ", ").alias("objects"))
-    blocks = objects.groupBy("s").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "objects"))).alias("said"))
+    large = own.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > most).withColumnRenamed("s", "_of")
+    part = F.coalesce(F.pmod(F.xxhash64("p", "o"), F.ceil(F.col("n") / most)), F.lit(0))
+    own = own.join(large, F.col("s") == F.col("_of"), "left").withColumn("part", part)
+    objects = own.groupBy("s", "part", "p").agg(F.array_join(F.sort_array(F.collect_set("o")), ", ").alias("objects"))
+    blocks = objects.groupBy("s", "part").agg(F.sort_array(F.collect_list(F.concat_ws(" ", "p", "objects"))).alias("said"))
     return blocks.select(F.concat(F.col("s"), F.lit(" "), F.array_join("said", " ;\n    "), F.lit(" .")).alias("block"))

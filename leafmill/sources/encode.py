@@ -11,7 +11,8 @@ FIELD_MOST, RECORD_MOST = 9_999, 99_999
 
 
 def _bytes(text: Column) -> Column:
-    return F.decode(text.cast("binary"), "ISO-8859-1")
+    """A character for each byte of a text; ASCII is as it is."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.decode(text.cast("binary"), "ISO-8859-1"))
 
 
 def encoded(records: DataFrame, strict: bool = True) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from leafmill.operators.project import Matcher, Query
 from leafmill.operators.records import valid, where as filtered
 from leafmill.plans.compiler import THRESHOLD
-from leafmill.sources.model import FIELDS, LEADER, settled
+from leafmill.sources.model import settled
 from leafmill.sources.shared import store
 
 RECORD_END, FIELD_END, SUBFIELD = "\x1d", "\x1e", "\x1f"
@@ -47,9 +47,9 @@ def expanded(sources: str | list[str]) -> list[str]:
     return out
 
 
-def _latin(text: Column) -> Column:
-    """Latin-1 text, one character a byte, as the text that the bytes are."""
-    return F.encode(text, "ISO-8859-1").cast("string")
+def _latin(text: Column, plain: Column) -> Column:
+    """Latin-1 text, one character a byte, as the text that the bytes are; ``plain``: whether all of them are ASCII."""
+    return F.when(plain, text).otherwise(F.encode(text, "ISO-8859-1").cast("string"))
 
 
 def _part(text: Column, start: int, size: int) -> Column:
@@ -59,7 +59,8 @@ def _part(text: Column, start: int, size: int) -> Column:
 def decoded(raw: DataFrame, content: str = "content") -> DataFrame:
     """Rows with a binary column ``content`` (a record without its terminator) as records."""
     rows = settled(raw, _l=F.decode(F.col(content), "ISO-8859-1"))
-    rows = settled(rows, _parts=F.split("_l", FIELD_END, -1), _good=F.rlike(_part(F.col("_l"), 0, 24), F.lit(_LEADER)))
+    # one character is one byte; where all bytes are ASCII, values need no way back
+    rows = settled(rows, _ascii=F.octet_length("_l") == F.char_length("_l"), _parts=F.split("_l", FIELD_END, -1), _good=F.rlike(_part(F.col("_l"), 0, 24), F.lit(_LEADER)))
     good_leader = F.col("_good")
     length = F.when(good_leader, _part(F.col("_l"), 0, 5).cast("int"))
     base = F.when(good_leader, _part(F.col("_l"), 12, 5).cast("int"))
@@ -80,11 +81,12 @@ def decoded(raw: DataFrame, content: str = "content") -> DataFrame:
         return F.coalesce((size > 0) & F.when(is_control(p), F.length(p["text"]) == size - 1).otherwise(body), F.lit(False))
 
     def field(p: Column) -> Column:
-        subs = F.transform(F.slice(F.split(p["text"], SUBFIELD, -1), F.lit(2), F.lit(1 << 20)), lambda s: F.struct(F.substring(s, 1, 1).alias("code"), _latin(F.substring(s, 2, 1 << 20)).alias("value")))
+        subs = F.transform(F.slice(F.split(p["text"], SUBFIELD, -1), F.lit(2), F.lit(1 << 20)), lambda s: F.struct(F.substring(s, 1, 1).alias("code"), _latin(F.substring(s, 2, 1 << 20), plain).alias("value")))
         return F.struct(
             F.substring(p["entry"], 1, 3).alias("tag"), F.when(~is_control(p), F.substring(p["text"], 1, 1)).alias("ind1"), F.when(~is_control(p), F.substring(p["text"], 2, 1)).alias("ind2"),
-            F.when(is_control(p), _latin(p["text"])).alias("value"), F.when(~is_control(p), subs).alias("subfields"))
+            F.when(is_control(p), _latin(p["text"], plain)).alias("value"), F.when(~is_control(p), subs).alias("subfields"))
 
+    plain = F.col("_ascii")
     # one walk over the fields: what each is worth and what it holds
     rows = settled(rows, _seen=F.transform(pairs, lambda p: F.struct(good(p).alias("good"), field(p).alias("field"))))
     length, base = F.col("leader.length"), F.col("leader.base_addr")
@@ -102,7 +104,7 @@ def decoded(raw: DataFrame, content: str = "content") -> DataFrame:
     full = F.concat(F.col(content), F.when(F.col("_open"), F.lit(b"")).otherwise(F.lit(b"\x1d")) if "_open" in raw.columns else F.lit(b"\x1d"))
     out = settled(rows, err=err).withColumn("valid", F.col("err").isNull()).withColumn("raw", full)
     out = out.withColumn("fields", F.when(F.col("valid"), F.col("_seen.field")))
-    return out.select("source", "ord", "raw", "valid", "err", F.col("leader").cast(LEADER), F.col("fields").cast(FIELDS))
+    return out.select("source", "ord", "raw", "valid", "err", "leader", "fields")
 
 
 def framed(spark: SparkSession, sources: str | list[str]) -> DataFrame:

@@ -108,6 +108,13 @@ def test_skosify(some):
         skos.skosify(some, config).collect()
 
 
+def test_large_subjects_in_blocks(spark):
+    rows = spark.createDataFrame([("<s>", "<p>", f"<o{i}>") for i in range(100)] + [("<t>", "<p>", "<o>")], "s string, p string, o string")
+    blocks = [r.block for r in skos.turtle(rows, 20).collect()]
+    assert len(blocks) > 3 and sorted(o for b in blocks for o in b.removesuffix(" .").split("<p> ")[1].split(", ") if b.startswith("<s>")) == sorted(f"<o{i}>" for i in range(100))
+    assert len(skos.turtle(rows).collect()) == 2
+
+
 def test_escapes(spark):
     rows = spark.createDataFrame([("<s>", "<p>", '"a"b\\c\n"'), ("<s>", "<p>", "<o>")], "s string, p string, o string")
     assert sorted(r.line for r in skos.ntriples(rows).collect()) == ['<s> <p> "a\\"b\\\\c\\n" .', "<s> <p> <o> ."]

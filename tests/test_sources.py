@@ -107,6 +107,22 @@ def test_levels_and_document(spark, files):
             assert [r["position"] for r in json.load(f)["records"]] == [{"id": "2"}, {"id": "MP-4471"}]
 
 
+def test_shell_files(tmp_path):
+    import subprocess
+
+    from leafmill import cli, shell
+
+    for name in shell.SHELLS:
+        assert cli.main(["build-completion", name, "-o", f"{tmp_path}/sub/{name}"]) == 0
+        text = (tmp_path / "sub" / name).read_text()
+        assert "frequency" in text and "ignore-case" in text
+    assert subprocess.run(["bash", "-c", f". {tmp_path}/sub/bash; COMP_WORDS=(leafmill fre); COMP_CWORD=1; _leafmill; echo $COMPREPLY"], capture_output=True, text=True).stdout == "frequency\n"
+    assert subprocess.run(["bash", "-c", f". {tmp_path}/sub/bash; COMP_WORDS=(leafmill grep --ig); COMP_CWORD=2; _leafmill; echo $COMPREPLY"], capture_output=True, text=True).stdout == "--ignore-case\n"
+    assert cli.main(["build-man", "-o", f"{tmp_path}/man"]) == 0
+    pages = sorted(os.listdir(tmp_path / "man"))
+    assert "leafmill.1" in pages and "leafmill-grep.1" in pages and "\\-\\-ignore\\-case" in (tmp_path / "man" / "leafmill-grep.1").read_text()
+
+
 def test_bytes_that_are_no_text(spark):
     raw = bytearray(OTHER)
     raw[raw.index("é".encode())] = 0xFF
