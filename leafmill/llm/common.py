@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import re
 import shutil
 import tempfile
 import uuid
@@ -27,6 +26,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.shared import is_local, shared_dir, store, until_end
+
 #: One word of any text: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -40,11 +41,6 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
-def is_local(spark: SparkSession) -> bool:
-    """Whether all tasks run in the driver's process."""
-    return re.match(r"local($|\[)", spark.sparkContext.master) is not None
-
-
 _shipped: set[str] = set()
 
 
@@ -75,31 +71,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where that is unset and all tasks share the driver's disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors and the driver share")
-        found = tempfile.mkdtemp(prefix="leafmill-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def _store(spark: SparkSession, path: str):
-    """The path and its file system, as the JVM sees them."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
-def until_end(spark: SparkSession, path: str) -> str:
-    """``path``, which goes when the application ends."""
-    place, files = _store(spark, path)
-    files.deleteOnExit(place)
-    return path
-
-
 _open: ContextVar[list[str] | None] = ContextVar("tables of the innermost scratch", default=None)
 _stay: set[str] = set()
 
@@ -128,7 +99,7 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        place, files = _store(spark, path)
+        place, files = store(spark, path)
         files.delete(place, True)
         files.cancelDeleteOnExit(place)
 

@@ -317,7 +317,8 @@ def likelihood(spark: SparkSession, docs: DataFrame, pieces: list[bytes], rounds
         got += PRIOR * np.exp(start)
         logp = np.log(got / got.sum())
     scored = word_scores(words, fixed, logp)
-    met = terms.join(scored.withColumnRenamed("train", "c"), "word").select(F.col("block").alias("of"), "number", "c", "logp")
+    # partitions grow in number with the blocks, so that what a task reads does not grow with the corpus
+    met = terms.repartition(lanes, "word").join(scored.withColumnRenamed("train", "c").repartition(lanes, "word"), "word").select(F.col("block").alias("of"), "number", "c", "logp")
     own = laid.where("word is null").select(F.col("block").alias("at"), "doc_id", "held", "numbers", "counts")
     end_log, end_known, spread = float(logp[-1]) / _LN10, int(ends > 0), math.log10(total + distinct + 1)
     end_base = math.log10(ends + 1)
@@ -338,7 +339,6 @@ def likelihood(spark: SparkSession, docs: DataFrame, pieces: list[bytes], rounds
         base = summed(np.log10(c[numbers] + 1.0)) + end_base - n * spread
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": summed(c[numbers] > 0).astype(np.int64) + end_known, "train_tokens": np.full(len(lists), total, np.int64), "base_score": base, "score": summed(lp[numbers]) / _LN10 + end_log})
 
-    # about a block for each partition, so that what a task reads does not grow with the corpus
     own, met = own.repartition(lanes, "at"), met.repartition(lanes, "of")
     return own.groupBy("at").cogroup(met.groupBy("of")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -35,7 +35,7 @@ def test_archive(spark, pages, tmp_path):
     for r in manifest:
         data = (tmp_path / "a" / r.file).read_bytes()
         assert (len(data), hashlib.sha256(data).hexdigest()) == (r.bytes, r.sha256)
-    assert not [f for f in os.listdir(tmp_path / "a") if f.endswith(".tmp")]
+    assert all(f == "manifest" or f.strip(".").startswith("shard-") for f in os.listdir(tmp_path / "a"))  # nothing unfinished
     assert [b.startswith(b"WARC/1.1\r\nWARC-Type: ") for b in warc._members((tmp_path / "a" / manifest[0].file).open("rb"))][0]
 
 
@@ -53,6 +53,19 @@ def test_one_id_many_rows(spark, tmp_path):
     assert len({r.shard for r in manifest}) > 5 and warc.read_archives(spark, f"{tmp_path}/h").count() == 500
 
 
+def test_ids_that_span_everything(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "u", "x" * 50) for i in (-(2**63), -5, 0, 7, 2**63 - 1)], "page_id long, url string, html string")
+    warc.write_archives(spark, rows, f"{tmp_path}/w", shard=700)
+    assert sorted(r.page_id for r in warc.read_archives(spark, f"{tmp_path}/w").collect()) == [-(2**63), -5, 0, 7, 2**63 - 1]
+
+
+def test_shards_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARDS", 3)
+    rows = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "repeat(concat('p', id), 100) AS html")
+    manifest = warc.write_archives(spark, rows, f"{tmp_path}/s", shard=1000).collect()
+    assert len({r.shard for r in manifest}) <= 4 and sum(r.records for r in manifest) == 300
+
+
 def test_damage(spark, pages, tmp_path):
     manifest = warc.write_archives(spark, pages.limit(5), f"{tmp_path}/d").collect()
     file = tmp_path / "d" / manifest[0].file
