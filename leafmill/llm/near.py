@@ -14,7 +14,8 @@
    shingles first, only as many as a link must share one of, with bounds on sizes and positions.  Components meet by
    shingle before their members do, so members of one component are never compared.  So no cap on
    a bucket is needed and no candidate of a bucket is lost.
-5. Classes that share an id are linked.  Components by alternating stars; each is named by the smallest id in it.
+5. Classes that share an id are linked.  Links are between the smallest ids of classes; components by alternating stars,
+   each named by the smallest id in it.
 
 With 32 bands of 4 bins a pair of similarity 0.8 misses all buckets with a probability of 5e-8.
 
@@ -130,12 +131,12 @@ def _needed(a: Column, b: Column) -> Column:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
+    """Of the pairs (a, b) of classes those whose full sets reach the similarity, as pairs of their smallest ids."""
+    left = sets.select(F.col("rep").alias("a"), F.col("first_id").alias("id_a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("rep").alias("b"), F.col("first_id").alias("id_b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(SIMILARITY[1] * common >= SIMILARITY[0] * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return both.where(SIMILARITY[1] * common >= SIMILARITY[0] * (F.size("set_a") + F.size("set_b") - common)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def _pairs(left: Column, right: Column) -> list[Column]:
@@ -159,25 +160,26 @@ def rest_pairs(spark: SparkSession, members: DataFrame, found: DataFrame, sets:
     """Candidate pairs in buckets that hold more than one component, by an exact prefix join over their members.
 
     A shingle that m members of one component and a single outsider share costs m pairs, not m * m: components meet first."""
-    placed = members.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = members.join(found, "rep")
     split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     left_over = placed.join(split, "key").select("rep", "n", "component").distinct()
     tokens = left_over.join(sets, "rep").select("rep", "n", "component", F.explode("shingles").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
     # a shingle of one document alone comes first in its order and pairs with nothing: only its number counts
     kept = tokens.join(common, "token")
-    lists = kept.groupBy("rep", "n", "component").agg(F.array_sort(F.collect_list(F.struct("docs", "token"))).alias("kept"))
+    lists = kept.groupBy("rep", "n", "component").agg(F.sort_array(F.collect_list(F.struct("docs", "token"))).alias("kept"))
     alone = F.col("n") - F.size("kept")
     reach = F.col("n") - F.ceil(F.col("n") * SIMILARITY[0] / F.lit(float(SIMILARITY[1]))) + 1 - alone
     prefix = lists.where(reach > 0).select("rep", "n", "component", alone.alias("alone"), F.posexplode(F.slice("kept", F.lit(1), reach.cast("int"))).alias("at", "entry"))
     prefix = prefix.select("rep", "n", "component", (F.col("alone") + F.col("at")).alias("place"), F.col("entry.token").alias("token"))
     prefix = saved(spark, prefix, "near-prefix", count, 5_000)
-    groups = prefix.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    groups = prefix.groupBy("token", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("place")).alias("room"))
     g, h = groups.alias("g"), groups.alias("h")
-    # components whose sizes come close enough for some of their members
+    # components whose sizes and positions come close enough for some of their members; for single members that is the whole test
     apart = (F.col("g.token") == F.col("h.token")) & (F.col("g.component") < F.col("h.component"))
     reaching = (SIMILARITY[1] * F.col("g.high") >= SIMILARITY[0] * F.col("h.low")) & (SIMILARITY[1] * F.col("h.high") >= SIMILARITY[0] * F.col("g.low"))
-    met = g.join(h, apart & reaching).select(F.col("g.token").alias("token"), F.col("g.component").alias("one"), F.col("h.component").alias("two"))
+    roomy = F.least(F.col("g.room"), F.col("h.room")) >= _needed(F.col("g.low"), F.col("h.low"))
+    met = g.join(h, apart & reaching & roomy).select(F.col("g.token").alias("token"), F.col("g.component").alias("one"), F.col("h.component").alias("two"))
 
     def side(name: str, component: str) -> DataFrame:
         return prefix.select("token", F.col("component").alias(component), F.struct("rep", "n", "place").alias(name))
@@ -188,13 +190,13 @@ def rest_pairs(spark: SparkSession, members: DataFrame, found: DataFrame, sets:
 
 
 def same_id_links(signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) between the classes of rows that share an id."""
+    """Links (a, b) between the smallest ids of the classes of rows that share an id."""
     rows = signed.where("set_key is not null and doc_id is not null").select("doc_id", "set_key")
     sign = F.xxhash64("set_key")  # a number, so that its extremes have partial sums without a sort
     twice = rows.groupBy("doc_id").agg(F.min(sign).alias("least"), F.max(sign).alias("most")).where("least < most").select("doc_id")
-    held = rows.join(twice, "doc_id").join(classes, "set_key").select("doc_id", "rep").distinct()
-    least = held.groupBy("doc_id").agg(F.min("rep").alias("b"))
-    return held.join(least, "doc_id").where("rep > b").select(F.col("rep").alias("a"), "b").distinct()
+    held = rows.join(twice, "doc_id").join(classes, "set_key").select("doc_id", F.col("first_id").alias("a")).distinct()
+    least = held.groupBy("doc_id").agg(F.min("a").alias("b"))
+    return held.join(least, "doc_id").where("a > b").select("a", "b").distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFrame:
@@ -211,22 +213,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5) -> DataFra
     members = saved(spark, rows.join(shared, "key").select("key", "rep", "n"), "near-members", count * BINS // BAND)
     asked = members.select("rep").distinct().join(classes, "rep").select(F.col("first_id").alias("doc_id"), "set_key", "rep")
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = full_sets(texts, k).join(asked, ["doc_id", "set_key"]).groupBy("rep").agg(F.first("shingles").alias("shingles"))
+    sets = full_sets(texts, k).join(asked, ["doc_id", "set_key"]).groupBy("rep").agg(F.first("doc_id").alias("first_id"), F.first("shingles").alias("shingles"))
     sets = saved(spark, sets, "near-sets", count, 5_000)
     links = saved(spark, confirmed(star_pairs(members), sets), "near-links", count, 5_000)
     found = components(spark, links, links.count())
+
+    def placed(found: DataFrame) -> DataFrame:
+        return classes.join(found, classes["first_id"] == found["vertex"], "left").select("set_key", "rep", F.coalesce("component", "first_id").alias("component"))
+
     with scratch(spark):
-        more = confirmed(rest_pairs(spark, members, found, sets, count), sets).union(same_id_links(signed, classes))
+        more = confirmed(rest_pairs(spark, members, placed(found).drop("set_key"), sets, count), sets).union(same_id_links(signed, classes))
         more = kept(saved(spark, more, "near-rest", count, 5_000))
     discard(spark, members, sets, links)
     if extra := more.count():
         both = found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more)
         found = components(spark, both, found.count() + extra)
-    # a component is named by the smallest id of its classes
-    placed = found.unionByName(found.select(F.col("component").alias("vertex"), "component").distinct()).withColumnRenamed("vertex", "rep").join(classes, "rep")
-    names = placed.groupBy("component").agg(F.min("first_id").alias("name"))
-    placed = placed.join(names, "component").select("rep", "name")
-    named = classes.join(placed, "rep", "left").select("set_key", F.coalesce("name", "first_id").alias("component_id"))
+    named = placed(found).select("set_key", F.col("component").alias("component_id"))
     out = signed.drop("bands").join(named, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
